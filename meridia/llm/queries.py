@@ -28,6 +28,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, fold, quality_score, training_labels
 
@@ -37,6 +43,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmlcrf import main_text, trained
+
+    pages = table(spark, sf_dir, "pages")
+    text = pages.select("page_id", "url", main_text(trained(), pages, "html").alias("text"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -50,6 +64,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bounded_batches, text_or_empty
+    from .media import read_back_column, sniff_column, store_column
+
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), store_column(text_or_empty("text")).alias("content"))
+    # The declared type is unhelpful on purpose: the type and length used come from sniffing.
+    sniffed = stored.withColumn("sniffed", sniff_column(F.col("content"), F.lit("application/octet-stream")))
+    read = sniffed.withColumn("read", read_back_column(F.col("content"), F.col("sniffed.media_type"), F.col("sniffed.length")))
+    return read.select("doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", "read.media_bytes", "read.media_sha256", "read.feature")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_boilerplate
 
@@ -57,13 +90,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import tokenise_to_shards
+
+    return tokenise_to_shards(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op2_warc": op2_warc,
         "op3_quality": op3_quality,
+        "op4_html": op4_html,
         "op5_mix": op5_mix,
         "op6_simhash": op6_simhash,
+        "op7_embeddings": op7_embeddings,
+        "op8_media": op8_media,
         "op9_line_dedup": op9_line_dedup,
+        "op10_tokens": op10_tokens,
     }
 
 
