@@ -6,6 +6,8 @@ where it does not fit. Integers narrow by wrapping, as two's complement does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,14 @@ from .fieldtypes import spark_type
 _NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL[(].*[)])$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it.
+
+    Without this, accessors of accessors would double an expression at every level.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def member(value: Column, name: str) -> Column:
     """An object's member as a variant; null if there is none or the value is no object."""
     quoted = name.replace("\\", "\\\\").replace('"', '\\"')

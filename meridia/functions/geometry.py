@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import GEOM, SR
-from .checked import as_bool, as_f64, as_i64, as_str, is_absent, member
+from .checked import as_bool, as_f64, as_i64, as_str, is_absent, let, member
 
 KINDS = ("point", "multipoint", "polygon", "polyline", "envelope")
 DIMS = {"XY": 2, "XYZ": 3, "XYM": 3, "XYZM": 4}
@@ -40,26 +40,27 @@ def kind_of_type(geometry_type: str) -> str:
 def spatial_reference(value: Column) -> Column:
     """A spatial reference object, in either spelling of its keys; null if absent."""
 
-    def number(snake: str, camel: str) -> Column:
-        return F.coalesce(as_i64(member(value, snake)), as_i64(member(value, camel)))
+    def read(v: Column) -> Column:
+        def number(snake: str, camel: str) -> Column:
+            return F.coalesce(as_i64(member(v, snake)), as_i64(member(v, camel)))
 
-    found = F.struct(
-        as_i64(member(value, "wkid")).alias("wkid"),
-        number("latest_wkid", "latestWkid").alias("latest_wkid"),
-        number("vcs_wkid", "vcsWkid").alias("vcs_wkid"),
-        number("latest_vcs_wkid", "latestVcsWkid").alias("latest_vcs_wkid"),
-        as_str(member(value, "wkt")).alias("wkt"),
-    )
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), found)
+        found = F.struct(
+            as_i64(member(v, "wkid")).alias("wkid"),
+            number("latest_wkid", "latestWkid").alias("latest_wkid"),
+            number("vcs_wkid", "vcsWkid").alias("vcs_wkid"),
+            number("latest_vcs_wkid", "latestVcsWkid").alias("latest_vcs_wkid"),
+            as_str(member(v, "wkt")).alias("wkt"),
+        )
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), found)
 
+    return let(value, read)
 
-def _coordinates(value: Column, depth: int, dim: int) -> tuple[Column, Column]:
-    """(whether it is nested arrays of dim numbers each, the arrays)."""
+
+def _coordinates(value: Column, depth: int, dim: int) -> Column:
+    """Nested arrays of dim numbers each, or null if the value is anything else."""
     inner = f"(VOID|{_NUM})"
     for _ in range(depth):
         inner = f"(VOID|ARRAY<{inner}>)"
-    array_type = "array<" * depth + "double" + ">" * depth
-    arrays = F.try_variant_get(value, "$", array_type)
 
     def fits(a: Column, level: int) -> Column:
         if level == 1:
@@ -67,8 +68,12 @@ def _coordinates(value: Column, depth: int, dim: int) -> tuple[Column, Column]:
         return a.isNotNull() & F.forall(a, lambda x: fits(x, level - 1))
 
     # Null elements vanish from the type, so they are looked for in the values.
-    good = F.schema_of_variant(value).startswith("ARRAY") & F.schema_of_variant(value).rlike(f"^{inner}$") & fits(arrays, depth)
-    return F.coalesce(good, F.lit(False)), arrays
+    typed = F.schema_of_variant(value).startswith("ARRAY") & F.schema_of_variant(value).rlike(f"^{inner}$")
+    arrays = F.when(typed, F.try_variant_get(value, "$", "array<" * depth + "double" + ">" * depth))
+    return let(arrays, lambda a: F.when(fits(a, depth), a))
+
+
+_ENVELOPE = ("xmin", "ymin", "xmax", "ymax", "zmin", "zmax", "mmin", "mmax")
 
 
 def geom_from_variant(value: Column, dim: int = 2, mode: str = "failfast") -> Column:
@@ -77,48 +82,48 @@ def geom_from_variant(value: Column, dim: int = 2, mode: str = "failfast") -> Co
     raises, or is null with mode="permissive"."""
     if dim not in (2, 3, 4):
         raise ValueError("dim is 2, 3 or 4")
-
-    def number(name: str) -> Column:
-        return as_f64(member(value, name))
-
-    def optional(*names: str) -> Column:
-        good = F.lit(True)
-        for name in names:
-            good = good & (is_absent(member(value, name)) | number(name).isNotNull())
-        return good
-
-    def flag_fits(name: str) -> Column:
-        return is_absent(member(value, name)) | as_bool(member(value, name)).isNotNull()
-
-    flags = flag_fits("hasZ") & flag_fits("hasM")
-    points_fit, points = _coordinates(member(value, "points"), 2, dim)
-    rings_fit, rings = _coordinates(member(value, "rings"), 3, dim)
-    paths_fit, paths = _coordinates(member(value, "paths"), 3, dim)
-    corners = number("xmin").isNotNull() & number("ymin").isNotNull() & number("xmax").isNotNull() & number("ymax").isNotNull()
-    kind = (
-        F.when(number("x").isNotNull() & number("y").isNotNull() & optional("z", "m"), "point")
-        .when(points_fit & flags, "multipoint")
-        .when(rings_fit & flags, "polygon")
-        .when(paths_fit & flags, "polyline")
-        .when(corners & optional("zmin", "zmax", "mmin", "mmax"), "envelope")
-    )
-
-    def only(kinds: tuple[str, ...], column: Column) -> Column:
-        return F.when(kind.isin(*kinds), column)
-
-    many = ("multipoint", "polygon", "polyline")
-    found = F.struct(
-        kind.alias("kind"),
-        *[only(("point",), number(n)).alias(n) for n in "xyzm"],
-        *[only(many, as_bool(member(value, n))).alias(n) for n in ("hasZ", "hasM")],
-        only(("multipoint",), points).alias("points"),
-        only(("polygon",), rings).alias("rings"),
-        only(("polyline",), paths).alias("paths"),
-        *[only(("envelope",), number(n)).alias(n) for n in ("xmin", "ymin", "xmax", "ymax", "zmin", "zmax", "mmin", "mmax")],
-        spatial_reference(member(value, "spatialReference")).alias("spatialReference"),
-    ).cast(GEOM)
-    refused = F.lit(None).cast(GEOM) if mode == "permissive" else F.raise_error(F.concat(F.lit("no geometry of that dimension: "), F.substring(F.to_json(value), 1, 200))).cast(GEOM)
-    return F.when(is_absent(value), F.lit(None).cast(GEOM)).when(kind.isNull(), refused).otherwise(found)
+    refused = F.lit(None).cast(GEOM) if mode == "permissive" else F.raise_error(F.lit("no geometry of that dimension")).cast(GEOM)
+    numbers, flags = ("x", "y", "z", "m", *_ENVELOPE), ("hasZ", "hasM")
+
+    def read(v: Column) -> Column:
+        """Each member's value, null if it doesn't fit, and which optional ones are wrong."""
+        return F.struct(
+            *[as_f64(member(v, n)).alias(n) for n in numbers],
+            *[as_bool(member(v, n)).alias(n) for n in flags],
+            *[_coordinates(member(v, n), depth, dim).alias(n) for n, depth in (("points", 2), ("rings", 3), ("paths", 3))],
+            *[(~is_absent(member(v, n))).alias(f"has_{n}") for n in ("z", "m", "zmin", "zmax", "mmin", "mmax", *flags)],
+            spatial_reference(member(v, "spatialReference")).alias("spatialReference"),
+        )
+
+    def classify(p: Column) -> Column:
+        def optional(*names: str) -> Column:
+            good = F.lit(True)
+            for n in names:
+                good = good & (~p[f"has_{n}"] | p[n].isNotNull())
+            return good
+
+        kind = (
+            F.when(p["x"].isNotNull() & p["y"].isNotNull() & optional("z", "m"), "point")
+            .when(p["points"].isNotNull() & optional(*flags), "multipoint")
+            .when(p["rings"].isNotNull() & optional(*flags), "polygon")
+            .when(p["paths"].isNotNull() & optional(*flags), "polyline")
+            .when(p["xmin"].isNotNull() & p["ymin"].isNotNull() & p["xmax"].isNotNull() & p["ymax"].isNotNull() & optional("zmin", "zmax", "mmin", "mmax"), "envelope")
+        )
+        return F.struct(kind.alias("kind"), p.alias("p"))
+
+    def shape(c: Column) -> Column:
+        p = c["p"]
+
+        def only(names: tuple[str, ...], *kinds: str) -> list[Column]:
+            return [F.when(c["kind"].isin(*kinds), p[n]).alias(n) for n in names]
+
+        found = F.struct(
+            c["kind"].alias("kind"), *only(("x", "y", "z", "m"), "point"), *only(flags, "multipoint", "polygon", "polyline"), *only(("points",), "multipoint"),
+            *only(("rings",), "polygon"), *only(("paths",), "polyline"), *only(_ENVELOPE, "envelope"), p["spatialReference"].alias("spatialReference"),
+        ).cast(GEOM)
+        return F.when(c["kind"].isNull(), refused).otherwise(found)
+
+    return let(value, lambda v: F.when(is_absent(v), F.lit(None).cast(GEOM)).otherwise(let(let(read(v), classify), shape)))
 
 
 def geom_from_json(text: Column, dim: int = 2, mode: str = "failfast") -> Column:
@@ -130,7 +135,7 @@ def geom_from_json(text: Column, dim: int = 2, mode: str = "failfast") -> Column
 
 
 def _as(geom: Column, kind: str, *names: str) -> Column:
-    return F.when(geom["kind"] == kind, F.struct(*[geom[n].alias(n) for n in names]))
+    return let(geom, lambda g: F.when(g["kind"] == kind, F.struct(*[g[n].alias(n) for n in names])))
 
 
 def as_point(geom: Column) -> Column:
@@ -209,7 +214,7 @@ def drop_zm(coord: Column) -> Column:
 
 def xy_point(point: Column, keep_zm: bool = False) -> Column:
     names = ("x", "y", "z", "m") if keep_zm else ("x", "y")
-    return F.when(point.isNotNull(), F.struct(*[point[n].alias(n) for n in names]))
+    return let(point, lambda p: F.when(p.isNotNull(), F.struct(*[p[n].alias(n) for n in names])))
 
 
 def xy_points(points: Column, keep: int = 2) -> Column:
@@ -222,13 +227,18 @@ def xy_paths(paths: Column, keep: int = 2) -> Column:
 
 def close_ring(ring: Column) -> Column:
     """Repeats the first coordinate at the end of an open ring."""
-    return F.when((F.size(ring) > 0) & (F.get(ring, F.lit(0)) != F.element_at(ring, -1)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+    return let(ring, lambda r: F.when((F.size(r) > 0) & (F.get(r, F.lit(0)) != F.element_at(r, -1)), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def xy_polygon(rings: Column, keep: int = 2, closed: bool = True) -> Column:
     """Rings as x and y, closed; a polygon without rings raises."""
-    shaped = F.transform(rings, lambda r: F.transform(close_ring(r) if closed else r, lambda c: xy(c, keep)))
-    return F.when(F.size(rings) == 0, F.raise_error(F.lit("polygon without rings")).cast("array<array<struct<x:double,y:double>>>") if keep == 2 else F.raise_error(F.lit("polygon without rings"))).otherwise(shaped)
+    kind = "array<array<struct<" + ",".join(f"{n}:double" for n in ("x", "y", "z", "m")[:keep]) + ">>>"
+
+    def shape(rs: Column) -> Column:
+        shaped = F.transform(rs, lambda r: F.transform(close_ring(r) if closed else r, lambda c: xy(c, keep)))
+        return F.when(F.size(rs) == 0, F.raise_error(F.lit("polygon without rings")).cast(kind)).otherwise(shaped)
+
+    return let(rings, shape)
 
 
 def geometry_column(geom: Column, geometry_type: str, keep_zm: bool = False, dim: int = 2) -> Column:
@@ -237,10 +247,9 @@ def geometry_column(geom: Column, geometry_type: str, keep_zm: bool = False, dim
     if kind == "point":
         return xy_point(as_point(geom), keep_zm)
     if kind == "multipoint":
-        return F.when(geom["kind"] == kind, xy_points(geom["points"], keep))
-    if kind == "polyline":
-        return F.when(geom["kind"] == kind, xy_paths(geom["paths"], keep))
-    return F.when(geom["kind"] == kind, xy_paths(geom["rings"], keep))
+        return let(geom, lambda g: F.when(g["kind"] == kind, xy_points(g["points"], keep)))
+    name = "paths" if kind == "polyline" else "rings"
+    return let(geom, lambda g: F.when(g["kind"] == kind, xy_paths(g[name], keep)))
 
 
 # --- construction and writing ----------------------------------------------
@@ -255,7 +264,11 @@ def matrix_to_coords(flat: Column, nrow: int | Column, dim: int) -> Column:
 
 def coords_to_matrix(coords: Column, dim: int) -> Column:
     """The inverse: coordinates as a column-major list."""
-    return F.flatten(F.array(*[F.transform(coords, lambda c, k=k: F.get(c, F.lit(k))) for k in range(dim)]))
+
+    def column(k: int) -> Column:
+        return F.transform(coords, lambda c: F.get(c, F.lit(k)))
+
+    return F.flatten(F.array(*[column(k) for k in range(dim)]))
 
 
 def sr_literal(sr: dict | Column | None) -> Column:
@@ -290,19 +303,23 @@ def to_wire(column: Column, shape: str, layout: str = "XY", sr: dict | Column |
     if shape not in SHAPES or layout not in DIMS:
         raise ValueError(f"unknown shape {shape!r} or layout {layout!r}")
     dim, has_z, has_m, ref = DIMS[layout], "Z" in layout, "M" in layout, sr_literal(sr)
-    if shape == "POINT":
-        ordinates = dict(zip(layout.lower(), range(dim), strict=True))
-        members = [_finite(F.get(column, F.lit(i))).alias(n) for n, i in ordinates.items()]
-        return F.when(column.isNotNull() & (F.size(column) > 0), F.struct(*members, ref.alias("spatialReference")))
     coords = lambda a: F.transform(a, lambda c: _coord(c, dim))
-    if shape == "MULTIPOINT":
-        name, parts = "points", coords(column)
-    elif shape == "LINESTRING":
-        name, parts = "paths", F.when(F.size(column) > 0, F.array(coords(column))).otherwise(F.array().cast("array<array<array<double>>>"))
-    else:
-        name = "paths" if shape == "MULTILINESTRING" else "rings"
-        parts = F.transform(F.flatten(column) if shape == "MULTIPOLYGON" else column, coords)
-    return F.when(column.isNotNull(), F.struct(F.lit(has_z).alias("hasZ"), F.lit(has_m).alias("hasM"), parts.alias(name), ref.alias("spatialReference")))
+
+    def point(c: Column) -> Column:
+        members = [_finite(F.get(c, F.lit(i))).alias(n) for i, n in enumerate(layout.lower())]
+        return F.when(c.isNotNull() & (F.size(c) > 0), F.struct(*members, ref.alias("spatialReference")))
+
+    def parts(c: Column) -> Column:
+        if shape == "MULTIPOINT":
+            name, listed = "points", coords(c)
+        elif shape == "LINESTRING":
+            name, listed = "paths", F.when(F.size(c) > 0, F.array(coords(c))).otherwise(F.array().cast("array<array<array<double>>>"))
+        else:
+            name = "paths" if shape == "MULTILINESTRING" else "rings"
+            listed = F.transform(F.flatten(c) if shape == "MULTIPOLYGON" else c, coords)
+        return F.when(c.isNotNull(), F.struct(F.lit(has_z).alias("hasZ"), F.lit(has_m).alias("hasM"), listed.alias(name), ref.alias("spatialReference")))
+
+    return let(column, point if shape == "POINT" else parts)
 
 
 def geometry_json(column: Column, shape: str, layout: str = "XY", sr: dict | Column | None = None) -> Column:
@@ -311,32 +328,38 @@ def geometry_json(column: Column, shape: str, layout: str = "XY", sr: dict | Col
 
 def geom_to_json(geom: Column, wire: str = "snake") -> Column:
     """GEOM back to JSON. Absent members are left out, except an envelope's, written as null."""
-    ref = geom["spatialReference"]
-    if wire == "camel":
-        ref = F.when(ref.isNotNull(), F.struct(ref["wkid"].alias("wkid"), ref["latest_wkid"].alias("latestWkid"), ref["vcs_wkid"].alias("vcsWkid"), ref["latest_vcs_wkid"].alias("latestVcsWkid"), ref["wkt"].alias("wkt")))
 
-    def of(*names: str) -> Column:
-        return F.struct(*[geom[n].alias(n) for n in names], ref.alias("spatialReference"))
+    def write(g: Column) -> Column:
+        ref = g["spatialReference"]
+        if wire == "camel":
+            ref = F.when(ref.isNotNull(), F.struct(ref["wkid"].alias("wkid"), ref["latest_wkid"].alias("latestWkid"), ref["vcs_wkid"].alias("vcsWkid"), ref["latest_vcs_wkid"].alias("latestVcsWkid"), ref["wkt"].alias("wkt")))
+
+        def of(*names: str) -> Column:
+            return F.struct(*[g[n].alias(n) for n in names], ref.alias("spatialReference"))
+
+        return (
+            F.when(g["kind"] == "point", F.to_json(of("x", "y", "z", "m")))
+            .when(g["kind"] == "multipoint", F.to_json(of("hasZ", "hasM", "points")))
+            .when(g["kind"] == "polyline", F.to_json(of("hasZ", "hasM", "paths")))
+            .when(g["kind"] == "polygon", F.to_json(of("hasZ", "hasM", "rings")))
+            .when(g["kind"] == "envelope", F.to_json(of(*_ENVELOPE), {"ignoreNullFields": "false"}))
+        )
 
-    envelope = of("xmin", "ymin", "xmax", "ymax", "zmin", "zmax", "mmin", "mmax")
-    return (
-        F.when(geom["kind"] == "point", F.to_json(of("x", "y", "z", "m")))
-        .when(geom["kind"] == "multipoint", F.to_json(of("hasZ", "hasM", "points")))
-        .when(geom["kind"] == "polyline", F.to_json(of("hasZ", "hasM", "paths")))
-        .when(geom["kind"] == "polygon", F.to_json(of("hasZ", "hasM", "rings")))
-        .when(geom["kind"] == "envelope", F.to_json(envelope, {"ignoreNullFields": "false"}))
-    )
+    return let(geom, write)
 
 
 def to_shape(geom: Column, shape: str) -> Column:
     """GEOM back to nested coordinate arrays (the inverse of to_wire where it has one)."""
-    if shape == "POINT":
-        given = F.array(geom["x"], geom["y"], geom["z"], geom["m"])
-        return F.when(geom["kind"] == "point", F.filter(given, lambda o: o.isNotNull()))
-    name = {"multipoint": "points", "polyline": "paths", "polygon": "rings"}[SHAPES[shape]]
-    parts = geom[name]
-    if shape == "LINESTRING":
-        parts = F.get(parts, F.lit(0))
-    if shape == "MULTIPOLYGON":
-        parts = F.array(parts)
-    return F.when(geom["kind"] == SHAPES[shape], parts)
+    kind = SHAPES[shape]
+    name = {"multipoint": "points", "polyline": "paths", "polygon": "rings", "point": "x"}[kind]
+
+    def read(g: Column) -> Column:
+        if shape == "POINT":
+            parts = F.filter(F.array(g["x"], g["y"], g["z"], g["m"]), lambda o: o.isNotNull())
+        elif shape == "LINESTRING":
+            parts = F.get(g[name], F.lit(0))
+        else:
+            parts = F.array(g[name]) if shape == "MULTIPOLYGON" else g[name]
+        return F.when(g["kind"] == kind, parts)
+
+    return let(geom, read)

@@ -105,7 +105,7 @@ def attr_int_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", checked.wrap_int(v, 16).alias("w16"), checked.wrap_int(v, 32).alias("w32"))
 
 
-@query("SELECT event_id, epoch_ms(ts) AS ms, epoch_ms(epoch_ms(ts)) AS ts_ms FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts_ms FROM events")
 def attr_date_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     value = F.parse_json(ms.cast("string"))
@@ -366,9 +366,9 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select(F.col("p_type").alias("categoryId"), labels.alias("fullLabel"), F.array(labels[0]).alias("parents"))
 
 
-@query("SELECT DISTINCT p_type AS category_id FROM part WHERE len(list_filter(string_split(p_type, ' '), lambda w: contains(lower(w), 'ass'))) > 0")
+@query("SELECT DISTINCT p_type AS category_id FROM part WHERE len(list_filter(string_split(p_type, ' '), lambda w: contains(lower(w), 'anda'))) > 0")
 def categories_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.filter_categories(categories(spark, sf_dir), "ASS").select(F.col("categoryId").alias("category_id"))
+    return P.filter_categories(categories(spark, sf_dir), "ANDA").select(F.col("categoryId").alias("category_id"))
 
 
 @query("SELECT DISTINCT p_type AS category_id, 'icon-svg' AS icon_url, 'petit' AS label FROM part WHERE string_split(p_type, ' ')[1] = 'ECONOMY'")

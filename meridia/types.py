@@ -48,5 +48,13 @@ PRICES = ("cheap", "moderate", "expensive", "veryExpensive")
 
 
 def columns_of(struct: str) -> str:
-    """The members of a struct type as a schema string."""
-    return struct.removeprefix("struct<").removesuffix(">")
+    """The members of a struct type as a table schema, which has spaces for colons."""
+    out, depth, name = [], 0, True
+    for c in struct.removeprefix("struct<").removesuffix(">"):
+        depth += (c == "<") - (c == ">")
+        if depth == 0 and c == ":" and name:
+            c, name = " ", False
+        elif depth == 0 and c == ",":
+            name = True
+        out.append(c)
+    return "".join(out)
