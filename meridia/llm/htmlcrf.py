@@ -13,7 +13,8 @@ main blocks are joined in page order by one newline. Whole pages are read; the p
 linear in their length.
 
 Edge cases: null or empty html, and pages without main blocks, give the empty text; a page
-cut short inside a tag loses that tag; unclosed comments and scripts run to the end;
+cut short inside a tag loses that tag; an unclosed quote ends at the next ">"; unclosed
+comments and scripts run to the end;
 repeated rows give equal results; an empty table gives an empty result.
 """
 
