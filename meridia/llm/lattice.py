@@ -196,7 +196,8 @@ def _resembling(entries: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            side, node, sketch = block["side"].to_numpy(), block["node"].to_numpy(), block["sketch"].to_numpy()
+            # Unsigned: numpy counts the bits of absolute values.
+            side, node, sketch = block["side"].to_numpy(), block["node"].to_numpy(), block["sketch"].to_numpy().view(np.uint64)
             a, b = np.flatnonzero(side), np.flatnonzero(~side)
             if not len(a) or not len(b):
                 continue
