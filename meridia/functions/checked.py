@@ -26,8 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def member(value: Column, name: str) -> Column:
     """An object's member as a variant; null if there is none or the value is no object."""
-    quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-    return F.try_variant_get(value, f'$["{quoted}"]', "variant")
+    for quote in "\"'":
+        if quote not in name:
+            return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+    # Paths have no escapes: a name with both quotes is looked up in a map.
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
 
 
 def as_i64(value: Column) -> Column:
