@@ -43,7 +43,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 #: Decompressed bytes after which a frame is closed.
 FRAME_BYTES = 256 << 10
-#: Rows of a bundle, on average.
+#: Rows of a bundle, on average and at most; fewer rows still give each task a bundle.
 BUNDLE_ROWS = 4_000
 
 
@@ -136,8 +136,9 @@ def write_bundles(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = with_originals(pages, id_col, url_col, payload_col, least_bytes)
-    bundles = max(1, math.ceil(pages.count() / BUNDLE_ROWS))
-    dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(min(bundles, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "bundle").sortWithinPartitions("bundle", "page_id", "url", "payload")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bundles = max(tasks, math.ceil(pages.count() / BUNDLE_ROWS))
+    dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(min(bundles, 4 * tasks), "bundle").sortWithinPartitions("bundle", "page_id", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import chain, groupby
