@@ -138,7 +138,7 @@ def write_bundles(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     rows = with_originals(pages, id_col, url_col, payload_col, least_bytes)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bundles = max(tasks, math.ceil(pages.count() / BUNDLE_ROWS))
-    dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(min(bundles, 4 * tasks), "bundle").sortWithinPartitions("bundle", "page_id", "url", "payload")
+    dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import chain, groupby
