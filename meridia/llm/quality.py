@@ -1,7 +1,7 @@
 """Quality classifier: a linear support vector machine on naive Bayes features.
 
-Texts are seen as sets of byte n-grams (2 to 4 bytes of UTF-8, hashed to BUCKETS). Each
-n-gram's indicator is scaled by its log-count ratio between the classes, rows have unit
+Texts are seen as sets of byte n-grams (2 to 4 bytes of UTF-8) and of repeats (the same
+word 2 to 8 times in a row, whatever the word), hashed to BUCKETS. Each n-gram's indicator is scaled by its log-count ratio between the classes, rows have unit
 length, and a linear hinge-loss model is fitted by dual coordinate descent (Wang and
 Manning 2012; Hsieh et al. 2008). A logistic curve turns margins into scores from 0 to 1.
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,28 @@ from .common import bounded_batches, text_or_empty
 
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4)
+#: Lengths of runs of one word that are n-grams of their own.
+REPEATS = range(2, 9)
 FIT_ROWS = 4_000
 #: Labels up to which they are broadcast (some 40 bytes each).
 BROADCAST_LABELS = 2_000_000
 
 
+_REPEAT_BUCKETS = np.array([zlib.crc32(f"{n} equal words".encode()) % BUCKETS for n in REPEATS])
+
+
+def _longest_run(words: list[str]) -> int:
+    """The most times in a row that a word stands, counted up to the last of REPEATS."""
+    longest, run = min(len(words), 1), 1
+    for same in map(eq, words, islice(words, 1, None)):
+        run = run + 1 if same else 1
+        if run > longest:
+            longest = run
+            if longest == REPEATS[-1]:
+                break
+    return longest
+
+
 class Indicators:
     """text -> sorted distinct n-gram buckets."""
 
@@ -53,6 +72,7 @@ class Indicators:
                 code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
                 if n in ORDERS:
                     seen[(code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(14)] = True
+        seen[_REPEAT_BUCKETS[: max(_longest_run(text.split()) - 1, 0)]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         return found

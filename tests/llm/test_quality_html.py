@@ -34,6 +34,8 @@ def test_indicators():
     found = Q.Indicators()
     assert len(found("")) == 0 and len(found("a")) == 0
     assert len(found("abcd")) == 6 and (found("abcd") == found("abcd" * 1)).all()
+    repeats = [len(set(found(" ".join(["ab"] * n)).tolist()) - set(found("ab ab ab").tolist())) for n in (3, 4, 8, 9)]
+    assert repeats == [0, 1, 5, 5]
     long = "xy z" * 600_000
     assert (found(long) == found(long[:2_000])).all()
 
