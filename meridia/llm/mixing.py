@@ -56,12 +56,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most_epochs: int) -
     return free.select("source_key", "source_size", F.when(F.col("limited"), F.col("most")).otherwise(F.col("left") * F.col("weight") / F.col("free_weight")).alias("target"))
 
 
+def mix_key(id_col: str, seed: int) -> Column:
+    """A document's place in the random order of its source."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+
+
+def source_key(source_col: str) -> Column:
+    """Never null, in code point order with the null source last: "=name" < "~"."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
+
+
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most_epochs: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    # Never null, in code point order with the null source last: "=name" < "~".
-    source_key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), source_key.alias("source_key"), words(text_col).alias("size"), key.alias("mix_key")), "sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("source_key"), words(text_col).alias("size"), mix_key(id_col, seed).alias("mix_key")), "sizes")
     sized = sized.withColumn("range", F.substring("mix_key", 1, RANGE_DIGITS))
     # A row for each source and key range: no window below ever holds a whole source.
     ranges = sized.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
@@ -78,7 +85,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     end = F.col("range_before") + F.col("upto")
     return running.join(per_range, ["source_key", "range"]).select(
         "doc_id", F.when(F.col("source_key") != "~", F.substring("source_key", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "mix_key",
-        (F.col("epochs") + F.when(end * 2 - F.col("tied") <= F.col("rest") * 2, 1).otherwise(0)).cast("long").alias("copies"),
+        "epochs", (F.col("epochs") + F.when(end * 2 - F.col("tied") <= F.col("rest") * 2, 1).otherwise(0)).cast("long").alias("copies"),
     )
 
 
@@ -90,7 +97,12 @@ def _small(targets: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most_epochs: int = 3, seed: int = 42) -> DataFrame:
     """The mix itself: the input's rows, each as often as the plan takes it (0 to most_epochs times)."""
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, most_epochs=most_epochs, seed=seed)
-    # Repeated rows have equal decisions; one row for each id and source is joined back.
-    decided = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
-    taken = docs.join(decided, docs[id_col].eqNullSafe(F.col("_mix_id")) & docs[source_col].eqNullSafe(F.col("_mix_source")))
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    # What the last epoch takes is a prefix in key order, so a row for each source decides,
+    # and the texts need no shuffle.
+    ends = plan.groupBy(source_key("source").alias("_mix_source")).agg(F.max("epochs").alias("_mix_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), F.col("mix_key"))).alias("_mix_end"))
+    ends = materialize(ends, "ends")
+    ends = F.broadcast(ends) if ends.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else ends
+    joined = docs.join(ends, source_key(source_col) == F.col("_mix_source"))
+    copies = F.col("_mix_epochs") + F.coalesce((mix_key(id_col, seed) <= F.col("_mix_end")).cast("long"), F.lit(0))
+    taken = joined.withColumn("_mix_copies", copies).filter("_mix_copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(docs.columns)
