@@ -37,6 +37,8 @@ from .components import connected_components
 SEED = 42
 #: Fingerprints in a bucket of one 32-bit segment above which it is cut again.
 LARGE_BUCKET = 64
+#: Ids of dropped documents up to which they are broadcast (some 16 bytes each).
+BROADCAST_IDS = 1_000_000
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
@@ -153,5 +155,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The input's rows whose id names their group: one document of each stays. Null ids stay."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    # Those that go are fewer than those that stay; while they are few, no text is shuffled.
+    names = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    gone = materialize(names.filter("not names").select(F.col("doc_id").alias("_gone_id")), "gone")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti").select(docs.columns)

@@ -95,6 +95,12 @@ def test_edges(spark, edge_docs, empty_docs):
     assert sorted(str(r.doc_id) for r in kept.select("doc_id").collect()) == expected
 
 
+def test_an_id_with_two_texts(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (5, "one two three"), (5, "something else here")], "doc_id long, text string")
+    # Id 5 still names the second text's group, so its rows stay.
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == [1, 5, 5]
+
+
 def test_fingerprint_column(spark):
     df = spark.createDataFrame([("Hello World",), ("",), ("a " * 200_000,)], "t string")
     got = [r.f & (2**64 - 1) for r in df.select(S.simhash_column(F.col("t")).alias("f")).collect()]
