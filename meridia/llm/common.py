@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch sent to a Python worker; texts can be megabytes long.
 BATCH_BYTES = 8 << 20
+#: Folders made for local sessions, by application; they go when the process ends.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,13 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     Where that setting is absent, a local master gets a temporary folder of its own;
     any other master is refused, because executors would not see the driver's disk.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="meridia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    context = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        # With its scheme, as a plain path means the cluster's default file system.
+        path = context._jvm.org.apache.hadoop.fs.Path(found)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="meridia-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
+    return _own[context.applicationId]
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
