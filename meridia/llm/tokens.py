@@ -15,7 +15,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Units a worker remembers; when full, the memo starts anew. Memory only, never results.
-MEMO_UNITS = 1_200_000
+MEMO_UNITS = 400_000
 
 #: White space that a library's regular expressions and ASCII's set may see differently.
 _DOUBTFUL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0̀-ͯ ᠎ -‏ -  -⁯　﻿]")
