@@ -44,7 +44,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 #: Decompressed bytes after which a frame is closed.
 FRAME_BYTES = 256 << 10
 #: Rows of a bundle, on average and at most; fewer rows still give each task a bundle.
-BUNDLE_ROWS = 4_000
+BUNDLE_ROWS = 1_000
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
