@@ -28,6 +28,8 @@ from .common import bounded_batches, materialize, text_or_empty
 
 #: Pieces of one length that one task ranks.
 RANK_ROWS = 20_000
+#: Units the tokeniser remembers: fewer than elsewhere, as the pipeline's workers hold other stages' memory too.
+MEMO_UNITS = 400_000
 
 
 class OpenSequences:
@@ -108,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, ca
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        encode, end, step = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), 4 * capacity
+        encode, end, step = encoder(tokenizer, MEMO_UNITS).encode, end_id.to_bytes(4, "little"), 4 * capacity
         assert sys.byteorder == "little"
         for batch in batches:
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
