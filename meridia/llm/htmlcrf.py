@@ -10,7 +10,7 @@ layouts amid menus, headers, footers, sidebars, notices, adverts, forms and comm
 Scripts, styles, comments, titles and other text that is never shown are not blocks.
 Character references are decoded, white space inside a block becomes one space, and the
 main blocks are joined in page order by one newline. Whole pages are read; the parser is
-linear in their length.
+linear in their length. All ancestors of a block count, with every word of their classes, ids and roles.
 
 Edge cases: null or empty html, and pages without main blocks, give the empty text; a page
 cut short inside a tag loses that tag; an unclosed quote ends at the next ">"; unclosed
@@ -25,6 +25,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -60,18 +61,22 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'data-label="(\d)"')
 _WORD = re.compile(r"[a-z]+")
-#: Innermost ancestors that give features.
-DEPTH = 16
 
-Element = tuple[str, tuple[str, ...]]
-#: (text, characters inside links, innermost ancestors, label if the page has it)
-Block = tuple[str, int, tuple[Element, ...], int | None]
+#: (features of all ancestors and their names, tag of the innermost, tag of the one around it)
+Place = tuple[frozenset[str], str, str]
+#: (text, characters inside links, place, label if the page has it)
+Block = tuple[str, int, Place, int | None]
+NOWHERE: Place = (frozenset(), "", "")
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
+def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order.
+
+    Every ancestor and every word of its class, id and role counts. Features that are not
+    among the known ones are left out, so that no element carries more than those down.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[Element, ...], int | None]] = []
+    stack: list[tuple[str, Place, int | None]] = []
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, trust_quotes, at, size = 0, False, True, 0, len(page)
@@ -82,8 +87,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, path, label = stack[-1] if stack else ("", (), None)
-                out.append((text, linked, path, label))
+                _, place, label = stack[-1] if stack else ("", NOWHERE, None)
+                out.append((text, linked, place, label))
             parts.clear()
         linked = 0
 
@@ -151,25 +156,30 @@ def blocks_of(page: str) -> list[Block]:
         while stack and stack[-1][0] in ENDED_BY.get(tag, ()):
             pop()
         attributes = page[name.end() : at]
-        names = tuple(w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))[:8] if "=" in attributes else ()
+        names = [w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())] if "=" in attributes else ()
         marked = _LABEL.search(attributes) if "data-label" in attributes else None
-        _, path, label = stack[-1] if stack else ("", (), None)
-        stack.append((tag, (*path, (tag, names))[-DEPTH:], int(marked[1]) if marked else label))
+        _, (above, around, _), label = stack[-1] if stack else ("", NOWHERE, None)
+        new = {f for f in element_features(tag, names) if f not in above and (known is None or f in known)}
+        stack.append((tag, (above | new if new else above, tag, around), int(marked[1]) if marked else label))
         open_tags[tag] += 1
     flush()
     return out
 
 
-def ancestor_features(path: tuple[Element, ...]) -> set[str]:
-    found = {"bias", f"own={path[-1][0]}" if path else "own="}
-    if len(path) > 1:
-        found.add(f"parent={path[-2][0]}")
-    for tag, names in path:
-        found.add(f"in={tag}")
-        for name in names:
-            found.add(f"name={name}")
-            if name in _GROUP_OF:
-                found.add(f"group={_GROUP_OF[name]}")
+def element_features(tag: str, names: Iterable[str]) -> Iterator[str]:
+    """What an element says about all blocks inside it."""
+    yield f"in={tag}"
+    for name in names:
+        yield f"name={name}"
+        if name in _GROUP_OF:
+            yield f"group={_GROUP_OF[name]}"
+
+
+def ancestor_features(place: Place) -> set[str]:
+    above, own, parent = place
+    found = {"bias", f"own={own}", *above}
+    if parent:
+        found.add(f"parent={parent}")
     return found
 
 
@@ -197,15 +207,15 @@ class BlockField:
         self.weight: dict[str, float] = {}
         self.step = [[0.0, 0.0], [0.0, 0.0]]
         self.start = [0.0, 0.0]
-        self._paths: dict[tuple, float] = {}
+        self._places: dict[Place, float] = {}
 
     def emission(self, block: Block) -> float:
-        text, linked, path, _ = block
-        if path not in self._paths:
-            if len(self._paths) > 50_000:
-                self._paths.clear()
-            self._paths[path] = sum(self.weight.get(f, 0.0) for f in ancestor_features(path))
-        return self._paths[path] + sum([self.weight.get(f, 0.0) for f in text_features(text, linked)])
+        text, linked, place, _ = block
+        if place not in self._places:
+            if len(self._places) > 50_000:
+                self._places.clear()
+            self._places[place] = sum(self.weight.get(f, 0.0) for f in ancestor_features(place))
+        return self._places[place] + sum([self.weight.get(f, 0.0) for f in text_features(text, linked)])
 
     def decode(self, emissions: list[float]) -> list[int]:
         """Viterbi."""
@@ -225,7 +235,7 @@ class BlockField:
         return labels[::-1]
 
     def text(self, page: str) -> str:
-        blocks = blocks_of(page)
+        blocks = blocks_of(page, self.weight)
         labels = self.decode([self.emission(b) for b in blocks])
         return "\n".join(b[0] for b, y in zip(blocks, labels, strict=True) if y)
 

@@ -134,6 +134,25 @@ def test_long_and_broken_pages_are_linear():
         H.blocks_of(page)
 
 
+def test_all_names_and_all_ancestors_count():
+    long_list = '<div class="mt-4 flex w-full items-center px-2 py-1 border-t comments"><p>x</p></div>'
+    late_id = f'<div class="{" ".join("abcdefghij")}" id="comments"><p>x</p></div>'
+    deep = '<div class="comments">' + "<div>" * 30 + "x"
+    for page in (long_list, late_id, deep):
+        (block,) = H.blocks_of(page)
+        assert {"group=comment", "name=comments"} <= H.ancestor_features(block[2])
+    prose = "<p>Some words, of an article, that go on for a while.</p>"
+    page = f"<article>{prose * 3}</article><footer>{'<div>' * 20}{prose.replace('article', 'footer')}{'</div>' * 20}</footer>"
+    assert H.trained().text(page) == "\n".join(["Some words, of an article, that go on for a while."] * 3)
+
+
+def test_names_of_deep_pages_stay_linear():
+    r = "abcdefghijklmnopqrstuvwxyz"
+    page = "".join(f'<div class="q{r[n % 26]}{r[n // 26 % 26]}{r[n // 676 % 26]}{r[n // 17576]}">' for n in range(50_000)) + "x"
+    (block,) = H.blocks_of(page, H.trained().weight)
+    assert len(block[2][0]) < 100
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<html></html>"), (4, "u", "<nav><a href=x>menu</a></nav>"), (5, "u", "<article><p>Text, of an article.</p></article>" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
