@@ -14,7 +14,7 @@ linear in their length. All ancestors of a block count, with every word of their
 
 Edge cases: null or empty html, and pages without main blocks, give the empty text; a page
 cut short inside a tag loses that tag; an unclosed quote ends at the next ">"; unclosed
-comments and scripts run to the end;
+comments, scripts and xmp elements run to the end; xmp is shown as it is written, formulas without annotations;
 repeated rows give equal results; an empty table gives an empty result.
 """
 
@@ -37,7 +37,11 @@ from .common import bounded_batches, text_or_empty
 # Fixed sets of HTML's element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = frozenset("canvas iframe math noembed noframes noscript object script style svg template textarea title xmp".split())
+UNSHOWN = frozenset("canvas iframe noembed noframes noscript object script style svg template textarea title".split())
+#: Formulas stand in the text around them; of the second kind browsers show nothing, the third parts cells.
+FORMULA = frozenset("maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+FORMULA_UNSHOWN = frozenset("annotation annotation-xml mphantom".split())
+FORMULA_SPACE = frozenset("mspace mtd mtr".split())
 #: An open element of the second kind ends when one of the first starts beside it.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -59,6 +63,7 @@ _GROUP_OF = {word: group for group, words in GROUPS.items() for word in words.sp
 _TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in (*FORMULA_UNSHOWN, "xmp")}
 _LABEL = re.compile(r'data-label="(\d)"')
 _WORD = re.compile(r"[a-z]+")
 
@@ -78,7 +83,9 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, Place, int | None]] = []
     open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
+    in_formula = False
     linked, in_link, trust_quotes, at, size = 0, False, True, 0, len(page)
     lower = page.lower() if len(page.lower()) == len(page) else page.translate({c: c + 32 for c in range(65, 91)})
 
@@ -127,6 +134,21 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
             end = page.find(">", name.end())
             at = end + 1 if end >= 0 else size
         tag = name[0].lower()
+        if tag in FORMULA_UNSHOWN:
+            if in_formula and not closing and not page.startswith("/>", at - 2) and tag not in unclosed:
+                end = _ENDS[tag].search(page, at)
+                if end:
+                    end = page.find(">", end.end() - 1)
+                    at = end + 1 if end >= 0 else size
+                else:
+                    unclosed.add(tag)
+            continue
+        if tag == "math":
+            in_formula = not closing
+        if tag in FORMULA_SPACE:
+            parts.append(" ")
+        if tag in FORMULA:
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
@@ -159,9 +181,15 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
         names = [w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())] if "=" in attributes else ()
         marked = _LABEL.search(attributes) if "data-label" in attributes else None
         _, (above, around, _), label = stack[-1] if stack else ("", NOWHERE, None)
-        new = {f for f in element_features(tag, names) if f not in above and (known is None or f in known)}
-        stack.append((tag, (above | new if new else above, tag, around), int(marked[1]) if marked else label))
+        kind = "pre" if tag == "xmp" else tag
+        new = {f for f in element_features(kind, names) if f not in above and (known is None or f in known)}
+        stack.append((tag, (above | new if new else above, kind, around), int(marked[1]) if marked else label))
         open_tags[tag] += 1
+        if tag == "xmp":
+            end = _ENDS[tag].search(page, at)
+            stop = end.start() if end else size
+            parts.append(html.escape(page[at:stop], quote=False))
+            at = stop
     flush()
     return out
 

@@ -146,6 +146,30 @@ def test_all_names_and_all_ancestors_count():
     assert H.trained().text(page) == "\n".join(["Some words, of an article, that go on for a while."] * 3)
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<p>so <math><msup><mi>x</mi><mn>2</mn></msup><mo>&gt;</mo><mn>1</mn></math> holds</p>", ["so x2>1 holds"]), ("<math><mtr><mtd>1</mtd><mtd>2</mtd></mtr></math>", ["1 2"]),
+        (r"<p>a <math><semantics><mi>x</mi><annotation-xml><p>n</p></annotation-xml><annotation encoding='tex'>\x</annotation></semantics></math> b", ["a x b"]), ("<math><annotation/><mi>x</mi></math>y", ["xy"]),
+        ("<p>see<xmp><b>if (a &lt; b)</b> </xmpx>\n&copy</XMP >after", ["see", "<b>if (a &lt; b)</b> </xmpx> &copy", "after"]), ("<xmp>a</p>b", ["a</p>b"]), ("<math>x</math> <annotation>shown</annotation>", ["x shown"]),
+    ],
+)
+def test_formulas_and_raw_listings(page, blocks):
+    assert [b[0] for b in H.blocks_of(page)] == blocks
+
+
+def test_formulas_and_listings_stay_in_articles():
+    prose = "<p>Some words, of an article, that go on for a while.</p>"
+    page = f"<article>{prose * 2}<p>Then, as shown, <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p><xmp>for x in <list>: run</xmp>{prose}</article>"
+    text = "Some words, of an article, that go on for a while."
+    assert H.trained().text(page).split("\n") == [text, text, "Then, as shown, E=m holds.", "for x in <list>: run", text]
+
+
+def test_broken_formulas_and_listings_are_linear():
+    for page in ("<math>" + "<annotation>" * 50_000, "<xmp>" * 50_000, "<math>" * 50_000, "<mphantom/>" * 50_000, "<xmp></xmp>" * 50_000):
+        H.blocks_of(page)
+
+
 def test_names_of_deep_pages_stay_linear():
     r = "abcdefghijklmnopqrstuvwxyz"
     page = "".join(f'<div class="q{r[n % 26]}{r[n // 26 % 26]}{r[n // 676 % 26]}{r[n // 17576]}">' for n in range(50_000)) + "x"
