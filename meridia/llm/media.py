@@ -23,6 +23,7 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -180,9 +181,59 @@ def _mp4(d: bytes, s: int) -> int:
     return at if {b"ftyp", b"moov"} <= kinds else -1
 
 
+_PDF_MARK = re.compile(rb"%PDF-|%%EOF|startxref(?:\s{1,9}(\d{1,18}))?|xref|(?<!end)obj")
+_PDF_OBJECT = re.compile(rb"(?<!\d)\d{1,10}\s{1,9}\d{1,10}\s{1,9}$")
+_PDF_LENGTH = re.compile(rb"/L\s{1,9}(\d{1,18})")
+
+
+@lru_cache(maxsize=1)
+def _pdf_marks(d: bytes) -> tuple[list[int], list[int], dict[int, int]]:
+    """(headers, ends that follow a startxref, the last end that points back to each header).
+
+    An end points to the cross-reference table or stream before it by an offset from its
+    file's header, which tells its file even when that holds other files.
+    """
+    headers, ends, owned = [], [], {}
+    table = stream = -1
+    offset: int | None = None
+    ready = False
+    for m in _PDF_MARK.finditer(d):
+        kind, at = m[0], m.start()
+        if kind == b"%PDF-":
+            headers.append(at)
+            ready = False
+        elif kind == b"xref":
+            table = at
+        elif kind == b"obj":
+            stream = at
+        elif kind != b"%%EOF":
+            ready, offset = True, int(m[1]) if m[1] else None
+        elif ready:
+            ends.append(at + 5)
+            ready = False
+            if offset is not None:
+                number = _PDF_OBJECT.search(d[max(stream - 40, 0) : stream]) if stream >= 0 else None
+                for start in (table - offset, stream - len(number[0]) - offset if number else -1):
+                    if start >= 0 and d.startswith(b"%PDF-", start):
+                        owned[start] = at + 5
+    return headers, ends, owned
+
+
 def _pdf(d: bytes, s: int) -> int:
-    end = d.find(b"%%EOF", s)
-    return end + 5 if end >= 0 and d.find(b"startxref", s, end) >= 0 else -1
+    """To the last end of the file: linearized and updated files have several."""
+    headers, ends, owned = _pdf_marks(bytes(d))
+
+    def last_before_next_header(at: int) -> int:
+        follows = bisect_right(headers, at)
+        n = bisect_right(ends, headers[follows] if follows < len(headers) else len(d))
+        return ends[n - 1] if n and ends[n - 1] > at else -1
+
+    end = max(last_before_next_header(s), owned.get(s, -1))
+    head = d[s : s + 1024]
+    if b"/Linearized" in head and (stated := _PDF_LENGTH.search(head)) and (size := int(stated[1])) <= len(d) - s:
+        if (last := d.rfind(b"%%EOF", s + max(size - 32, 0), s + size)) >= 0:
+            end = max(end, last + 5)
+    return max(end, last_before_next_header(end)) if end >= 0 else -1
 
 
 def _zip(d: bytes, s: int) -> int:

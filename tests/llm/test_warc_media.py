@@ -127,6 +127,40 @@ def test_sniffing_each_format(kind):
     assert not [x for x in M.sniff(data[:-3]) if x[0] == kind]
 
 
+def pdf(body=b"", stream=False):
+    """A whole PDF, its offset right, with a table or a stream of cross-references."""
+    data = b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n"
+    return data + (b"2 0 obj\n<</Type/XRef>>\nendobj\n" if stream else b"xref\n0 1\ntrailer\n") + b"startxref\n%d\n%%%%EOF" % len(data)
+
+
+def updated_pdf(data, stream=False):
+    more = data + b"\n3 0 obj\nendobj\n"
+    return more + (b"4 0 obj\n<</Type/XRef>>\nendobj\n" if stream else b"xref\n0 1\ntrailer\n") + b"startxref\n%d\n%%%%EOF" % len(more)
+
+
+def linearized_pdf(body=b""):
+    first = b"%PDF-1.4\n1 0 obj\n<</Linearized 1/L 0000000000>>\nendobj\nxref\n0 1\ntrailer\nstartxref\n0\n%%EOF\n"
+    data = first + b"2 0 obj\n" + body + b"\nendobj\nxref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % first.index(b"xref")
+    return data.replace(b"/L 0000000000", b"/L %010d" % len(data))
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_whole_pdfs(stream):
+    plain, png = pdf(stream=stream), samples()["image/png"]
+    twice = updated_pdf(updated_pdf(pdf(png, stream), stream), stream)
+    for data in (twice, linearized_pdf(png), updated_pdf(linearized_pdf(png), stream), pdf(plain, stream), updated_pdf(pdf(twice, stream), stream), linearized_pdf(plain), updated_pdf(linearized_pdf(twice), stream)):
+        n = len(data)
+        assert M.sniff(data) == [("application/pdf", 0, n)]
+        assert M.sniff(b"text " + data + b" and after") == [("application/pdf", 5, n)]
+        # Files in a row stay apart, copies too.
+        assert M.sniff(data + b"\n" + data + b"\n" + plain) == [("application/pdf", 0, n), ("application/pdf", n + 1, n), ("application/pdf", 2 * n + 2, len(plain))]
+
+
+def test_many_pdf_marks_are_linear():
+    for data in (b"%PDF-" * 100_000, b"%PDF-%%EOF" * 50_000, pdf() * 10_000, b"%PDF-" + b"1" * 500_000 + b" 0 obj" * 50_000):
+        M.sniff(data)
+
+
 def test_media_column_edges(spark):
     s = samples()
     rows = [(1, bytearray(s["image/png"]), "image/jpeg"), (2, None, None), (3, bytearray(b""), "x"), (4, bytearray(b"text" + s["image/gif"] + s["audio/wav"]), "text/plain"), (5, bytearray(s["audio/wav"]), "audio/wav"), (6, bytearray(b"PK\x03\x04" * 10_000), "a")]
