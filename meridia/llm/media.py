@@ -167,6 +167,10 @@ def _ogg(d: bytes, s: int) -> int:
     return -1
 
 
+#: Boxes that stand outside others; only these are believed to reach to the end of the data.
+_MP4_OUTER = frozenset(b"pdin moov moof mfra mdat imda free skip udta meta uuid wide pnot styp sidx ssix prft emsg".split())
+
+
 def _mp4(d: bytes, s: int) -> int:
     """The magic stands four bytes into the first box."""
     at, kinds = s - 4, set()
@@ -174,7 +178,12 @@ def _mp4(d: bytes, s: int) -> int:
         return -1
     while at + 8 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, at)
-        if n < 8 or at + n > len(d) or not kind.isalnum():
+        least = 8
+        if n == 1 and at + 16 <= len(d):
+            n, least = struct.unpack_from(">Q", d, at + 8)[0], 16
+        elif n == 0 and kind in _MP4_OUTER:
+            n = len(d) - at
+        if n < least or at + n > len(d) or not kind.isalnum():
             break
         kinds.add(kind)
         at += n
@@ -236,12 +245,22 @@ def _pdf(d: bytes, s: int) -> int:
     return max(end, last_before_next_header(end)) if end >= 0 else -1
 
 
+@lru_cache(maxsize=1)
+def _zip_ends(d: bytes) -> dict[int, int]:
+    """Where archives start, by the offsets in their end records -> where the first such record ends."""
+    found: dict[int, int] = {}
+    at = d.find(b"PK\x05\x06")
+    while 0 <= at <= len(d) - 22:
+        size, offset, note = struct.unpack_from("<IIH", d, at + 12)
+        start = at - size - offset
+        if start >= 0 and d.startswith(b"PK\x01\x02", start + offset) and at + 22 + note <= len(d):
+            found.setdefault(start, at + 22 + note)
+        at = d.find(b"PK\x05\x06", at + 1)
+    return found
+
+
 def _zip(d: bytes, s: int) -> int:
-    at = d.find(b"PK\x05\x06", s)
-    if at < 0 or at + 22 > len(d):
-        return -1
-    size, offset, note = struct.unpack_from("<IIH", d, at + 12)
-    return at + 22 + note if s + offset + size == at and d[s + offset : s + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(d) else -1
+    return _zip_ends(bytes(d)).get(s, -1)
 
 
 def _gzip(d: bytes, s: int) -> int:

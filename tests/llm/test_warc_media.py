@@ -161,6 +161,43 @@ def test_many_pdf_marks_are_linear():
         M.sniff(data)
 
 
+def test_mp4_boxes_of_any_size():
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    long_box = lambda kind, body: struct.pack(">I4sQ", 1, kind, 16 + len(body)) + body
+    to_the_end = lambda kind, body: struct.pack(">I4s", 0, kind) + body
+    png = samples()["image/png"]
+    start, moov = box(b"ftyp", b"isom0000"), box(b"moov", b"1234")
+    data = start + long_box(b"mdat", png) + moov
+    assert M.sniff(data) == [("video/mp4", 0, len(data))]
+    assert M.sniff(b"text " + data + b" and after") == [("video/mp4", 5, len(data))]
+    assert "video/mp4" not in [k for k, _, _ in M.sniff(data[:-3])]
+    for last in (start + moov + to_the_end(b"mdat", png), start + long_box(b"mdat", png) + to_the_end(b"moov", b"1234")):
+        assert M.sniff(last) == [("video/mp4", 0, len(last))]
+    # A 64-bit size below its own header, or beyond the data, is no box; nor are zeros and text.
+    for rest in (struct.pack(">I4sQ", 1, b"mdat", 15) + b"x" * 20, struct.pack(">I4sQ", 1, b"mdat", 2**63) + b"x" * 20, struct.pack(">I4s", 1, b"mdat"), b"\0\0\0\0text after"):
+        assert M.sniff(start + moov + rest) == [("video/mp4", 0, len(start + moov))]
+
+
+def zip_of(*bodies, note=b""):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, body in enumerate(bodies):
+            z.writestr(f"{n}", body)
+        z.comment = note
+    return out.getvalue()
+
+
+def test_zip_that_stores_zips():
+    inner = zip_of(b"hello", note=b"note")
+    for data in (zip_of(inner), zip_of(b"first", inner, zip_of(inner)), zip_of(b"PK\x05\x06" + b"\0" * 18)):
+        assert M.sniff(data) == [("application/zip", 0, len(data))]
+        assert M.sniff(b"text " + data + data + b" and after") == [("application/zip", 5, len(data)), ("application/zip", 5 + len(data), len(data))]
+    # Without the outer end record, what is whole inside is still found.
+    cut = zip_of(inner)[:-3]
+    assert M.sniff(cut) == [("application/zip", cut.index(inner), len(inner))]
+    M.sniff(b"PK\x03\x04" * 50_000 + b"PK\x05\x06" * 50_000)
+
+
 def test_media_column_edges(spark):
     s = samples()
     rows = [(1, bytearray(s["image/png"]), "image/jpeg"), (2, None, None), (3, bytearray(b""), "x"), (4, bytearray(b"text" + s["image/gif"] + s["audio/wav"]), "text/plain"), (5, bytearray(s["audio/wav"]), "audio/wav"), (6, bytearray(b"PK\x03\x04" * 10_000), "a")]
