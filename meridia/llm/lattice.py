@@ -6,20 +6,26 @@ A vector stands in its own cell and probes the cells next to it: for each block,
 lattice neighbours its projection leans to most. Pairs that meet in a cell are verified by
 cosine in double precision.
 
+Tables and blocks follow from the number of vectors (``PLANS``): more blocks make smaller
+cells, so that a vector meets some 2,000 strangers at most, and more tables keep the recall.
+A first pass over 128-bit sign sketches drops the entries of a cell that resemble no other
+entry there, before any vector travels; of a million strangers one passes.
+
 Work is cut into blocks: of each cell, at most some BLOCK_ROWS standing and as many probing
 vectors meet in a task, and larger cells are dealt by hash to a grid of such blocks, so no
-cell is gathered anywhere and no pair is written out. A pair counts in the first table in
-which its vectors meet, which both sides can tell from the vectors alone; a block returns
-link counts and a spanning forest. Before vectors travel, a first pass over 64-bit sign
-sketches drops the entries of a cell that resemble no other entry there.
+cell is gathered anywhere. A vector's cells are computed once and travel with it as a short
+code. By them both sides can tell the first table in which a pair meets, where alone it
+counts; a task returns link counts and spanning forests, not all pairs.
 
-Equal vectors are one node with a weight. Measured recall is in the README and tests.
+Equal vectors are one node with a weight, numbered when the nodes are written. Measured
+recall is in the README and tests.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows with null ids, link with nothing: n_links 0, component_id their own id, kept true (for
-null ids: component_id null, kept false). Vectors of unequal length never link. An id that
-names several rows counts as one node in the components. An empty table gives an empty
-result. Columns other than the id and the vector are not read.
+null ids: component_id null, kept false). Vectors of unequal length never link. Rows are
+vectors of their own even where they share an id: each has its own links and component, and
+equal vectors link as any others do. Ids are read as 64-bit integers; others raise. An
+empty table gives an empty result. Columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -30,20 +36,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 from .components import connected_components
 
-TABLES = 10
-BLOCKS = 2
+#: (vectors up to which it serves, tables, blocks): two vectors at cosine 0.9 meet in some table with probability 0.96.
+PLANS = [(2_000_000, 10, 2), (70_000_000, 29, 3), (1 << 62, 77, 4)]
 NEIGHBOURS = 2
 #: Width of the lattice in standard deviations of a projected unit vector.
 WIDTH = 2.0
-#: Sketches of vectors at cosine 0.9 differ in 9 of 64 bits on average, in more than 24 about once in a million pairs.
-SKETCH_BITS = 24
+#: Sketches of vectors at cosine 0.9 differ in 18 of 128 bits on average, in more than 37 about once in a million pairs.
+SKETCH_BITS = 37
 BLOCK_ROWS = 512
+#: Entries of a cell up to which its pairs are listed together with those of other cells.
+SMALL_RUN = 16
+#: Large cells up to which they are broadcast (some 40 bytes each), and the parts of each beyond that.
+BROADCAST_CELLS = 200_000
+CELL_PARTS = 32
+
+BY_BLOCK = ["t", "cell", "i", "j"]
+STANDS_AND_PROBES, STANDS, PROBES = 0, 1, 2
 
 
 def e8_roots() -> np.ndarray:
@@ -76,42 +90,64 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(closer[..., None], whole, half)
 
 
+def lattice_plan(vectors: int) -> tuple[int, int]:
+    """(tables, blocks) for that many vectors."""
+    return next((tables, blocks) for most, tables, blocks in PLANS if vectors <= most)
+
+
 class Lattice:
     """Cells of unit vectors of one length."""
 
-    def __init__(self, dimensions: int, seed: int = 42, tables: int = TABLES, blocks: int = BLOCKS, neighbours: int = NEIGHBOURS, width: float = WIDTH):
+    def __init__(self, dimensions: int, tables: int, blocks: int, seed: int = 42, neighbours: int = NEIGHBOURS, width: float = WIDTH):
         rng = np.random.default_rng([seed, dimensions])
         self.shape = (tables, blocks, 8)
         self.project = rng.normal(size=(dimensions, tables * blocks * 8)) / width
-        self.planes = rng.normal(size=(dimensions, 64))
-        self.mix = rng.integers(1, 1 << 62, size=(blocks, 8), dtype=np.int64) * 2 + 1
+        self.planes = rng.normal(size=(dimensions, 128))
+        mix = rng.integers(1, 1 << 62, size=(blocks, 8), dtype=np.int64) * 2 + 1
         self.salt = rng.integers(-(1 << 62), 1 << 62, size=tables, dtype=np.int64)
-        self.roots, self.neighbours = e8_roots(), neighbours
+        self.roots, self.neighbours, self.mix = e8_roots(), neighbours, mix
+        with np.errstate(over="ignore"):
+            self.moves = (2 * self.roots).astype(np.int64) @ mix.T  # roots x blocks
 
-    def cells(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, tables, 1 + blocks x neighbours) hashes: the own cell, then those probed."""
+    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, tables) hashes of the own cells, (rows, tables, blocks, neighbours) roots towards those probed."""
         # einsum and not a matrix product: a vector's cells must not depend on the batch it is in.
         y = np.einsum("nd,dk->nk", unit, self.project).reshape(len(unit), *self.shape)
         points = nearest_e8(y)
         lean = np.einsum("ntbd,rd->ntbr", y - points, self.roots)
-        order = np.empty((*lean.shape[:-1], self.neighbours), np.int64)
+        order = np.empty((*lean.shape[:-1], self.neighbours), np.uint8)
         for k in range(self.neighbours):
-            order[..., k] = lean.argmax(axis=-1)
-            np.put_along_axis(lean, order[..., k : k + 1], -np.inf, -1)
+            best = lean.argmax(axis=-1)
+            order[..., k] = best
+            np.put_along_axis(lean, best[..., None], -np.inf, -1)
+        with np.errstate(over="ignore"):
+            return self.salt + ((2 * points).astype(np.int64) * self.mix).sum(axis=(2, 3)), order
+
+    def cells(self, own: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """(rows, tables, 1 + blocks x neighbours) hashes: the own cell, then those probed."""
         # A cell's hash is linear in its doubled coordinates, so a neighbour's is a sum.
         with np.errstate(over="ignore"):
-            own = self.salt + ((2 * points).astype(np.int64) * self.mix).sum(axis=(2, 3))
-            moves = (2 * self.roots).astype(np.int64) @ self.mix.T  # roots x blocks
-            probed = [own[:, :, None] + moves[order[:, :, b], b] for b in range(self.shape[1])]
+            probed = [own[:, :, None] + self.moves[order[:, :, b], b] for b in range(self.shape[1])]
         return np.concatenate([own[:, :, None], *probed], axis=2)
 
+    def pack(self, own: np.ndarray, order: np.ndarray) -> list[bytes]:
+        return [a.tobytes() + b.tobytes() for a, b in zip(own, order, strict=True)]
+
+    def unpack(self, packed: list[bytes]) -> np.ndarray:
+        """Cells from packed codes."""
+        tables, blocks, _ = self.shape
+        raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), tables * (8 + blocks * self.neighbours))
+        own = np.ascontiguousarray(raw[:, : 8 * tables]).view(np.int64)
+        return self.cells(own, raw[:, 8 * tables :].reshape(-1, tables, blocks, self.neighbours))
+
     def sketches(self, unit: np.ndarray) -> np.ndarray:
-        return np.packbits(unit @ self.planes > 0, axis=1).view(np.int64)[:, 0]
+        """(rows, 2) words of sign bits."""
+        return np.packbits(np.einsum("nd,dk->nk", unit, self.planes) > 0, axis=1).view(np.int64)
 
 
 @lru_cache(maxsize=8)
-def _lattice(dimensions: int, seed: int) -> Lattice:
-    return Lattice(dimensions, seed)
+def _lattice(dimensions: int, tables: int, blocks: int, seed: int) -> Lattice:
+    return Lattice(dimensions, tables, blocks, seed)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -130,169 +166,254 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _entries(nodes: DataFrame, seed: int) -> DataFrame:
-    """node, t, cell, own (stands there or only probes), sketch."""
+def _indexed(nodes: DataFrame, plan: tuple[int, int], seed: int) -> DataFrame:
+    """Nodes with the code of their cells and their sketch."""
+    kind = nodes.schema["vector"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            for rows, unit in _matrix(batch.column(1)):
-                lattice = _lattice(unit.shape[1], seed)
-                for at in range(0, len(rows), 1024):
-                    part = slice(at, at + 1024)
-                    cells = lattice.cells(unit[part])
+            code, sketch = np.empty(len(batch), object), np.empty((len(batch), 2), np.int64)
+            for rows, unit in _matrix(batch.column("vector")):
+                lattice = _lattice(unit.shape[1], *plan, seed)
+                for at in range(0, len(rows), 512):
+                    part = slice(at, at + 512)
+                    code[rows[part]] = lattice.pack(*lattice.codes(unit[part]))
+                    sketch[rows[part]] = lattice.sketches(unit[part])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=[*batch.schema.names, "code", "s1", "s2"])
+
+    return nodes.mapInArrow(index, f"h1 long, h2 long, least_id long, weight long, vector {kind}, dim int, code binary, s1 long, s2 long")
+
+
+def _entries(nodes: DataFrame, plan: tuple[int, int], seed: int) -> DataFrame:
+    """node, t, cell, own (stands there or only probes), sketch."""
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                for at in range(0, int((dims == dim).sum()), 2048):
+                    rows = np.flatnonzero(dims == dim)[at : at + 2048]
+                    part = batch.take(pa.array(rows))
+                    cells = _lattice(dim, *plan, seed).unpack(part.column("code").to_pylist())
                     n, tables, probes = cells.shape
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(node[rows[part]], tables * probes)),
-                            pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n)),
-                            pa.array(cells.reshape(-1)),
-                            pa.array(np.tile(np.arange(probes) == 0, n * tables)),
-                            pa.array(np.repeat(lattice.sketches(unit[part]), tables * probes)),
-                        ],
-                        names=["node", "t", "cell", "own", "sketch"],
-                    )
+                    wide = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), tables * probes))  # noqa: B023, E731
+                    t = pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n))
+                    yield pa.RecordBatch.from_arrays([wide("node"), t, pa.array(cells.reshape(-1)), pa.array(np.tile(np.arange(probes) == 0, n * tables)), wide("s1"), wide("s2")], names=["node", "t", "cell", "own", "s1", "s2"])
 
-    return nodes.select("node", "vector").mapInArrow(index, "node long, t int, cell long, own boolean, sketch long")
+    return nodes.select("node", "dim", "code", "s1", "s2").mapInArrow(enter, "node long, t int, cell long, own boolean, s1 long, s2 long")
 
 
 def _dealt(entries: DataFrame) -> DataFrame:
-    """Entries of cells where two can meet, dealt to blocks (t, cell, i, j) of bounded size."""
-    sizes = entries.groupBy("t", "cell").agg(F.sum(F.col("own").cast("int")).alias("n_own"), F.count(F.lit(1)).alias("n_all")).filter("n_own > 0 and n_all > 1")
+    """Entries dealt to blocks (t, cell, i, j) of bounded size, with the side they take there."""
     parts = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK_ROWS))).cast("int")
-    sizes = sizes.select("t", "cell", parts("n_own").alias("is"), parts("n_all").alias("js"))
-    joined = entries.join(sizes, ["t", "cell"])
+    sizes = entries.groupBy("t", "cell").agg(F.sum(F.col("own").cast("int")).alias("n_own"), F.count(F.lit(1)).alias("n_all"))
+    large = materialize(sizes.filter((F.col("n_all") > BLOCK_ROWS) & (F.col("n_own") > 0)).select("t", "cell", parts("n_own").alias("is"), parts("n_all").alias("js")), "large")
+    many = large.limit(BROADCAST_CELLS + 1).count() > BROADCAST_CELLS
+    if many:
+        # A large cell's entries meet its size in as many places as it has parts.
+        part: Column = F.pmod(F.xxhash64("node"), F.lit(CELL_PARTS)).cast("int")
+        spread = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))))
+        joined = entries.withColumn("part", part).join(spread, ["t", "cell", "part"], "left").drop("part")
+    else:
+        joined = entries.join(F.broadcast(large), ["t", "cell"], "left")
+    kept = [c for c in entries.columns if c not in ("t", "cell")]
+    whole = joined.filter("is is null").select("t", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("own"), STANDS_AND_PROBES).otherwise(PROBES).alias("side"), *kept)
+    # What stands in a large cell goes to its row of the grid, and everything to its column.
     salt = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
-    # What stands in the cell goes to its row of the grid, and everything to its column.
     last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    standing = joined.filter("own").withColumn("i", salt("is")).withColumn("j", F.explode(last("js"))).withColumn("side", F.lit(True))
-    probing = joined.withColumn("j", salt("js")).withColumn("i", F.explode(last("is"))).withColumn("side", F.lit(False))
-    both = standing.select("t", "cell", "i", "j", "side", *[c for c in entries.columns if c not in ("t", "cell")])
-    return both.unionByName(probing.select(both.columns))
+    cut = joined.filter("is is not null")
+    standing = cut.filter("own").select("t", "cell", salt("is").alias("i"), F.explode(last("js")).alias("j"), F.lit(STANDS).alias("side"), *kept)
+    probing = cut.select("t", "cell", F.explode(last("is")).alias("i"), salt("js").alias("j"), F.lit(PROBES).alias("side"), *kept)
+    parts_ = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole.unionByName(standing).unionByName(probing).repartition(parts_, *BY_BLOCK).sortWithinPartitions(*BY_BLOCK)
 
 
-def _by_block(dealt: DataFrame) -> DataFrame:
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole blocks from a stream in their order; holds one block at a time."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole blocks in their order, with where each starts and ends; a block waits for its end."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        keys = np.column_stack([table[c].to_numpy() for c in ("t", "cell", "i", "j")])
-        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        starts = np.concatenate(([0], ends))
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            yield table.slice(a, b - a)
+        keys = np.column_stack([table[c].to_numpy() for c in BY_BLOCK])
+        starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1))
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]).combine_chunks(), starts[:-1], starts[1:]
         rest = table.slice(starts[-1])
     if rest is not None and len(rest):
-        yield rest
-
-
-def _resembling(entries: DataFrame) -> DataFrame:
+        yield rest.combine_chunks(), np.array([0]), np.array([len(rest)])
+
+
+def _small_pairs(starts: np.ndarray, ends: np.ndarray, side: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of all pairs in small blocks where one stands and the other probes."""
+    small = (ends - starts > 1) & (ends - starts <= SMALL_RUN)
+    sizes = (ends - starts)[small]
+    until = np.repeat(ends[small], sizes)
+    rows = np.repeat(starts[small] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(until))
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, SMALL_RUN):
+        keep = rows + lag < until
+        rows, until = rows[keep], until[keep]
+        found_a.append(rows)
+        found_b.append(rows + lag)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    fit = ((side[a] != PROBES) & (side[b] != STANDS) | (side[b] != PROBES) & (side[a] != STANDS)) & (node[a] != node[b])
+    return a[fit], b[fit]
+
+
+def _resembling(dealt: DataFrame) -> DataFrame:
     """The entries of a cell whose sketch is close to another's there, without repeats."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
+        for table, starts, ends in _runs(batches):
+            side, node = table["side"].to_numpy(), table["node"].to_numpy()
             # Unsigned: numpy counts the bits of absolute values.
-            side, node, sketch = block["side"].to_numpy(), block["node"].to_numpy(), block["sketch"].to_numpy().view(np.uint64)
-            a, b = np.flatnonzero(side), np.flatnonzero(~side)
-            if not len(a) or not len(b):
-                continue
-            near = np.bitwise_count(sketch[a][:, None] ^ sketch[b][None, :]) <= SKETCH_BITS
-            near &= node[a][:, None] != node[b][None, :]
-            rows = np.concatenate((a[near.any(axis=1)], b[near.any(axis=0)]))
-            if len(rows):
-                yield from block.take(pa.array(rows)).select(["node", "t", "cell", "own"]).to_batches()
-
-    return _by_block(_dealt(entries)).mapInArrow(keep, "node long, t int, cell long, own boolean").distinct()
-
-
-def _verified(entries: DataFrame, least: float, seed: int) -> DataFrame:
+            s1, s2 = table["s1"].to_numpy().view(np.uint64), table["s2"].to_numpy().view(np.uint64)
+            close = np.zeros(len(table), np.bool_)
+            a, b = _small_pairs(starts, ends, side, node)
+            near = np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b]) <= SKETCH_BITS
+            close[a[near]] = close[b[near]] = True
+            for n in np.flatnonzero(ends - starts > SMALL_RUN).tolist():
+                at = np.arange(starts[n], ends[n])
+                a, b = at[side[at] != PROBES], at[side[at] != STANDS]
+                if len(a) and len(b):
+                    near = np.bitwise_count(s1[a][:, None] ^ s1[b]) + np.bitwise_count(s2[a][:, None] ^ s2[b]) <= SKETCH_BITS
+                    near &= node[a][:, None] != node[b]
+                    close[a[near.any(axis=1)]] = close[b[near.any(axis=0)]] = True
+            if close.any():
+                yield from table.filter(pa.array(close)).select(["node", "t", "cell", "own"]).to_batches()
+
+    return dealt.mapInArrow(keep, "node long, t int, cell long, own boolean").distinct()
+
+
+class Forest:
+    """Spanning forests of the links seen so far."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def _top(self, x: int) -> int:
+        above = self.above
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above.setdefault(up, up)
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self._top(a), self._top(b)
+        if x != y:
+            self.above[y] = x
+            self.edges.append((a, b))
+
+
+def _verified(dealt: DataFrame, plan: tuple[int, int], least: float, seed: int) -> DataFrame:
     """(node, links, other): link counts where other is null, else edges of a spanning forest."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            side = block["side"].to_numpy()
-            if side.all() or not side.any():
-                continue
-            t = block["t"][0].as_py()
-            node, weight = block["node"].to_numpy(), block["weight"].to_numpy()
-            out_node, out_links, edge_a, edge_b = [], [], [], []
-            for rows, unit in _matrix(block["vector"].combine_chunks()):
-                a, b = np.flatnonzero(side[rows]), np.flatnonzero(~side[rows])
-                link = (unit[a] @ unit[b].T >= least) & (node[rows[a]][:, None] != node[rows[b]][None, :])
-                a, b = a[some := link.any(axis=1)], b[other := link.any(axis=0)]
-                if not len(a):
-                    continue
-                link = link[some][:, other]
-                link &= ~_met_before(_lattice(unit.shape[1], seed), unit[a], unit[b], node[rows[a]], node[rows[b]], t)
-                wa, wb = weight[rows[a]], weight[rows[b]]
-                out_node += [*node[rows[a]].tolist(), *node[rows[b]].tolist()]
-                out_links += [*(link @ wb).tolist(), *(wa @ link).tolist()]
-                for x, y in _forest(link, node[rows[a]], node[rows[b]]):
-                    edge_a.append(x)
-                    edge_b.append(y)
-            n = len(out_node)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_node + edge_a, pa.int64()), pa.array(out_links + [0] * len(edge_a), pa.int64()), pa.array([None] * n + edge_b, pa.int64())], names=["node", "links", "other"]
-            )
-
-    return _by_block(_dealt(entries)).mapInArrow(verify, "node long, links long, other long")
-
-
-def _met_before(lattice: Lattice, a: np.ndarray, b: np.ndarray, node_a: np.ndarray, node_b: np.ndarray, t: int) -> np.ndarray:
-    """Whether a pair has met earlier: in a lower table, or in this one with the smaller id standing.
-
-    a stands and b probes here. A pair meets in a table if one's own cell is among the
-    cells of the other; where both orders do, the one with the smaller id standing counts.
+        for table, starts, ends in _runs(batches):
+            side, node, weight, t = (table[c].to_numpy() for c in ("side", "node", "weight", "t"))
+            links, forest = np.zeros(len(table), np.int64), Forest()
+            pair_a, pair_b = _small_pairs(starts, ends, side, node)
+            for rows, unit in _matrix(table["vector"].combine_chunks()):
+                lattice = _lattice(unit.shape[1], *plan, seed)
+                cells = lattice.unpack(table["code"].take(pa.array(rows)).to_pylist())
+                place = np.full(len(table), -1)
+                place[rows] = np.arange(len(rows))
+                same = (place[pair_a] >= 0) & (place[pair_b] >= 0)
+                low, high = pair_a[same], pair_b[same]
+                low, high = np.where(node[low] < node[high], low, high), np.where(node[low] < node[high], high, low)
+                for at in range(0, len(low), 4096):
+                    a, b = low[at : at + 4096], high[at : at + 4096]
+                    link = np.einsum("nd,nd->n", unit[place[a]], unit[place[b]]) >= least
+                    a, b = a[link], b[link]
+                    new = _first_meeting(cells[place[a]], cells[place[b]], t[a], side[a] != PROBES)
+                    a, b = a[new], b[new]
+                    np.add.at(links, a, weight[b])
+                    np.add.at(links, b, weight[a])
+                    for x, y in zip(node[a].tolist(), node[b].tolist(), strict=True):
+                        forest.add(x, y)
+                for n in np.flatnonzero(ends - starts > SMALL_RUN).tolist():
+                    at = np.arange(starts[n], ends[n])
+                    at = at[place[at] >= 0]
+                    a, b = at[side[at] != PROBES], at[side[at] != STANDS]
+                    link = (unit[place[a]] @ unit[place[b]].T >= least) & (node[a][:, None] != node[b])
+                    a, b, link = a[some := link.any(axis=1)], b[some_b := link.any(axis=0)], link[some][:, some_b]
+                    if len(a):
+                        link &= ~_met_before(cells[place[a]], cells[place[b]], node[a], node[b], int(t[a[0]]))
+                        np.add.at(links, a, link @ weight[b])
+                        np.add.at(links, b, weight[a] @ link)
+                        for rows_, columns in _forest(link):
+                            centre = int(node[a[rows_[0]]])
+                            for other in [*node[a[rows_]].tolist(), *node[b[columns]].tolist()]:
+                                forest.add(centre, other)
+            at = np.flatnonzero(links)
+            edge_a, edge_b = zip(*forest.edges, strict=True) if forest.edges else ((), ())
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*node[at].tolist(), *edge_a], pa.int64()), pa.array([*links[at].tolist(), *[0] * len(edge_a)], pa.int64()), pa.array([*[None] * len(at), *edge_b], pa.int64())], names=["node", "links", "other"]
+                )
+
+    return dealt.mapInArrow(verify, "node long, links long, other long")
+
+
+def _first_meeting(low: np.ndarray, high: np.ndarray, t: np.ndarray, low_stands: np.ndarray) -> np.ndarray:
+    """Whether pairs (smaller node, larger node) that are in a block of table t together count there.
+
+    They count in the first table in which one's own cell is among the other's, and there
+    where the smaller stands if the larger has its cell, else where the larger stands.
     """
-    ca, cb = lattice.cells(a), lattice.cells(b)
+    meet = (low[:, :, :1] == high).any(axis=2)
+    either = meet | (high[:, :, :1] == low).any(axis=2)
+    return (either.argmax(axis=1) == t) & (low_stands | ~meet[np.arange(len(t)), t])
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, node_a: np.ndarray, node_b: np.ndarray, t: int) -> np.ndarray:
+    """The same for all pairs of a that stands and b that probes in a cell of table t: whether they count elsewhere."""
 
     def stands(own: np.ndarray, probes: np.ndarray, s: int) -> np.ndarray:
-        return (own[:, s, 0][:, None, None] == probes[:, s, :][None, :, :]).any(axis=2)
+        found = np.zeros((len(own), len(probes)), np.bool_)
+        for k in range(probes.shape[2]):
+            found |= own[:, s, 0][:, None] == probes[:, s, k]
+        return found
 
     met = np.zeros((len(a), len(b)), np.bool_)
     for s in range(t):
-        met |= stands(ca, cb, s) | stands(cb, ca, s).T
-    return met | (stands(cb, ca, t).T & (node_a[:, None] > node_b[None, :]))
+        met |= stands(a, b, s) | stands(b, a, s).T
+    return met | (stands(b, a, t).T & (node_a[:, None] > node_b))
 
 
-def _forest(link: np.ndarray, node_a: np.ndarray, node_b: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A star for each component of the block's links: one edge less than it has nodes."""
+def _forest(link: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of each component that the matrix's links make."""
     left = link.any(axis=1)
     while left.any():
-        first = int(left.argmax())
         rows, size = np.zeros(len(link), np.bool_), 0
-        rows[first] = True
+        rows[left.argmax()] = True
         while rows.sum() != size:
             size = rows.sum()
             columns = link[rows].any(axis=0)
             rows = link[:, columns].any(axis=1)
         left &= ~rows
-        centre = int(node_a[first])
-        for other in {*node_a[rows].tolist(), *node_b[columns].tolist()} - {centre}:
-            yield centre, other
+        yield np.flatnonzero(rows), np.flatnonzero(columns)
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, seed: int = 42) -> DataFrame:
-    """vec_id, n_links, component_id, kept, one row for each vector."""
+def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, seed: int = 42, plan: tuple[int, int] | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept, one row for each vector. plan: (tables, blocks), by PLANS if not given."""
     bounded_batches(vectors.sparkSession)
+    plan = plan or lattice_plan(vectors.count())
     v = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("vector"))
     # 128 bits stand for a vector where equal ones are found, so that none is shuffled for it.
     hashed = rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("h1"), F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(seed), "vector")).alias("h2"))
-    nodes = materialize(hashed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")), "nodes")
-    close = materialize(_resembling(_entries(nodes, seed)), "close")
-    with_vectors = close.join(nodes.select("node", "weight", "vector"), "node")
-    verified = materialize(_verified(with_vectors, least, seed), "verified")
+    distinct = hashed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    nodes = materialize(_indexed(distinct, plan, seed).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    close = materialize(_resembling(_dealt(_entries(nodes, plan, seed))), "close")
+    with_vectors = close.join(nodes.select("node", "weight", "code", "vector"), "node")
+    verified = materialize(_verified(_dealt(with_vectors), plan, least, seed), "verified")
     links = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    per_node = nodes.select("h1", "h2", "node", "weight").join(links, "node", "left").join(components, "node", "left")
-    per_node = per_node.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    return hashed.select("vec_id", "h1", "h2").join(per_node, ["h1", "h2"], "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept")
+    per_node = nodes.select("h1", "h2", "node", "least_id", "weight").join(links, "node", "left").join(components, "node", "left")
+    per_node = materialize(per_node.select("h1", "h2", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component")), "per-node")
+    least_ids = per_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = per_node.join(least_ids, "component").select("h1", "h2", "links", "component_id")
+    return hashed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept")
     )

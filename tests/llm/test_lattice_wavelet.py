@@ -45,8 +45,11 @@ def result(rows, least=0.9):
     good, links = brute(rows, least)
     n_links = Counter(x for pair in links for x in pair)
     ids = [i for i, _ in good]
-    group = least_reachable(set(ids), [(ids[a], ids[b]) for a, b in links])
-    linked = Counter((i, n_links[n], group[i], group[i] == i) for n, (i, _) in enumerate(good))
+    # Rows in the order of their ids, so that the least row of a group has its least id.
+    order = sorted(range(len(good)), key=lambda n: ids[n])
+    rank = {n: k for k, n in enumerate(order)}
+    group = least_reachable(set(rank.values()), [(rank[a], rank[b]) for a, b in links])
+    linked = Counter((i, n_links[n], (least_id := ids[order[group[rank[n]]]]), least_id == i) for n, (i, _) in enumerate(good))
     rest = Counter(i for i, _ in rows) - Counter(ids)
     return linked + Counter({(i, 0, i, i is not None): n for i, n in rest.items()})
 
@@ -79,8 +82,10 @@ def test_links_against_brute_force(spark, monkeypatch, crowded, block):
     assert {k[0]: k[1:] for k in got if k[0] >= 70 and k[0] < 220} == {k[0]: k[1:] for k in wanted if k[0] >= 70 and k[0] < 220}
 
 
-def test_recall_near_the_threshold(spark):
-    """Pairs at cosine 0.90 to 0.92 exactly; recall of links against all."""
+@pytest.mark.parametrize("plan", [None, (29, 3), (77, 4)])
+def test_recall_near_the_threshold(spark, plan):
+    """Pairs at cosine 0.90 to 0.92 exactly; recall of links against all, with the plan of each size."""
+    assert E.lattice_plan(1200) == (10, 2) and E.lattice_plan(10**9) == (77, 4)
     r = np.random.default_rng(4)
     a = r.normal(size=(600, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -90,11 +95,32 @@ def test_recall_near_the_threshold(spark):
     c = np.linspace(0.9005, 0.92, 600)[:, None]
     b = c * a + np.sqrt(1 - c * c) * z
     rows = [(2 * i, x) for i, x in enumerate(a.tolist())] + [(2 * i + 1, x) for i, x in enumerate(b.tolist())]
-    got = E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), plan=plan).cache()
     assert got.filter("n_links > 0").count() / 1200 >= 0.9
     assert got.filter("vec_id % 2 = 1 and component_id not in (vec_id, vec_id - 1)").count() == 0
 
 
+def test_shared_ids(spark):
+    """Rows that share an id are vectors of their own; equal vectors link whatever their ids."""
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(2, 64))
+    rows = [(i, (a + 0.02 * r.normal(size=64)).tolist()) for i in (1, 2, 3, 5)] + [(i, (b + 0.02 * r.normal(size=64)).tolist()) for i in (5, 7, 8, 9)] + [(5, b.tolist())] * 2
+    got = found(E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == result(rows) and got[5, 3, 1, False] == 1
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_hot_cells_either_way(spark, monkeypatch, many):
+    """Large cells are found by broadcast or by a salted join, with the same links."""
+    monkeypatch.setattr(E, "BLOCK_ROWS", 8)
+    if many:
+        monkeypatch.setattr(E, "BROADCAST_CELLS", 0)
+    r = np.random.default_rng(6)
+    centre = r.normal(size=32)
+    rows = [(i, (centre + 0.05 * r.normal(size=32)).tolist()) for i in range(120)]
+    assert found(E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == result(rows)
+
+
 def test_embedding_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").collect()]
     assert found(op7_embeddings(spark, f"{DATA}/sf0.001")) == result(rows)
