@@ -49,7 +49,7 @@ NEIGHBOURS = 2
 WIDTH = 2.0
 #: Sketches of vectors at cosine 0.9 differ in 18 of 128 bits on average, in more than 37 about once in a million pairs.
 SKETCH_BITS = 37
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 #: Entries of a cell up to which its pairs are listed together with those of other cells.
 SMALL_RUN = 16
 #: Large cells up to which they are broadcast (some 40 bytes each), and the parts of each beyond that.
