@@ -114,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mix_key
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS mix_key
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (
@@ -128,10 +128,9 @@ shared AS (SELECT *, total - coalesce(sum(CASE WHEN lim THEN most END) OVER (),
 targets AS (SELECT source, source_size, CASE WHEN lim THEN most ELSE left_over * weight / free_weight END AS target FROM shared),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
 running AS (
-  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY mix_key, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(size) OVER (PARTITION BY source, mix_key, doc_id) AS tied FROM sized)
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY mix_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM sized)
 SELECT r.doc_id, r.size, e.source_size, e.target,
-       CAST(r.size * (e.epochs + CASE WHEN 2 * r.upto - r.tied <= 2 * (e.target - e.epochs * e.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(r.size * (e.epochs + CASE WHEN 2 * r.upto - r.size <= 2 * (e.target - e.epochs * e.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM running r JOIN epochs e ON r.source IS NOT DISTINCT FROM e.source
 """
 
