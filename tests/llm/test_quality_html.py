@@ -1,5 +1,6 @@
 import html
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -40,6 +41,92 @@ def test_indicators():
     assert (found(long) == found(long[:2_000])).all()
 
 
+def ngrams(text):
+    """Buckets by the definition, one n-gram after the other."""
+    raw, found, words = text.encode(), set(), text.split()
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            found.add(((int.from_bytes(raw[i : i + n], "big") * 2654435761 + n * 40503) % 2**32) >> 14)
+    run = 1
+    for a, b in zip(words, words[1:]):
+        run = run + 1 if a == b else 1
+        if 2 <= run <= 8:
+            found.add(zlib.crc32(f"{run} equal words".encode()) % 2**18)
+    return found
+
+
+RUNS = [zlib.crc32(f"{n} equal words".encode()) % 2**18 for n in range(2, 9)]
+
+
+def dense_ratio(x, y):
+    p, q = 1 + x[y > 0].sum(axis=0), 1 + x[y < 0].sum(axis=0)
+    # Buckets that no text here has count one for each class.
+    ratio = np.log((p / (p.sum() + 2**18 - x.shape[1])) / (q / (q.sum() + 2**18 - x.shape[1])))
+    ratio[~x.any(axis=0)] = 0
+    return ratio
+
+
+def dense_fit(x, y, ratio, rounds):
+    z = x * ratio
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    z = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(y))
+    r = np.random.default_rng(0)
+    for _ in range(rounds):
+        moved = 0.0
+        for i in r.permutation(len(y)):
+            top = len(y) / (2 * (y == y[i]).sum())
+            new = min(max(alpha[i] - (y[i] * (w @ z[i] + bias) - 1) / (z[i] @ z[i] + 1), 0), top)
+            w, bias, moved = w + (new - alpha[i]) * y[i] * z[i], bias + (new - alpha[i]) * y[i], moved + abs(new - alpha[i])
+            alpha[i] = new
+        if moved < 1e-3 * len(y) ** 0.5:
+            break
+    return z @ w + bias, lambda v: (lambda u: (u @ w) / (np.linalg.norm(u) or 1) + bias)(v * ratio)
+
+
+def test_scores_against_dense_brute_force(spark):
+    """Counts, ratios, choice, fit and scores with full matrices, on all of sf0.001."""
+    got = {r.doc_id: r.score for r in op3_quality(spark, f"{DATA}/sf0.001").collect()}
+    docs = {r.doc_id: ngrams(r.text or "") for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    labels = sorted((r.doc_id, r.quality) for r in spark.read.parquet(f"{DATA}/sf0.001/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
+    used = sorted(set().union(*docs.values()) | set(RUNS))
+    column = {b: n for n, b in enumerate(used)}
+    matrix = {i: np.isin(np.array(used), list(f)).astype(float) for i, f in docs.items()}
+    x, y = np.array([matrix[i] for i, _ in labels]), np.array([1.0 if q else -1.0 for _, q in labels])
+    run_columns = [column[b] for b in RUNS]
+
+    def ratios(x, y, runs):
+        ratio = dense_ratio(x, y)
+        if not runs:
+            ratio[run_columns] = 0
+        return ratio
+
+    runs = False
+    if min((y > 0).sum(), (y < 0).sum()) >= 6:
+        part, r, wrong = np.empty(len(y), int), np.random.default_rng(0), [0, 0]
+        for side in (-1, 1):
+            part[r.permutation(np.flatnonzero(y == side))] = np.arange((y == side).sum()) % 3
+        for k in range(3):
+            for kind in (0, 1):
+                _, margin = dense_fit(x[part != k], y[part != k], ratios(x[part != k], y[part != k], kind), 6)
+                wrong[kind] += sum((margin(v) * s <= 0) / (y == s).sum() for v, s in zip(x[part == k], y[part == k]))
+        runs = wrong[1] < wrong[0]
+    margins, margin = dense_fit(x, y, ratios(x, y, runs), 12)
+    slope, shift = Q.fit_logistic(margins, y, np.ones(len(y)))
+    for i, v in matrix.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(slope * margin(v) + shift))), abs=1e-4)
+
+
+def test_runs_are_chosen_only_if_they_serve():
+    r = np.random.default_rng(2)
+    plain = [" ".join(r.choice(list("abcdefgh"), 30)) for _ in range(60)]
+    rows = [Q.Indicators()(t) for t in plain]
+    y = np.where(np.arange(60) % 2 == 0, 1.0, -1.0)
+    assert not Q.choose_family(rows[:4], y[:4])
+    stuck = [Q.Indicators()(t if s > 0 else " ".join(w for w in t.split() for _ in range(r.integers(1, 6)))) for t, s in zip(plain, y, strict=True)]
+    assert Q.choose_family(stuck, y)
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     return op3_quality(spark, f"{DATA}/sf0.1").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").collect()
