@@ -5,10 +5,12 @@ tags, classes and ids of its ancestors. Features of the ancestors and of the tex
 each block as main text or boilerplate, transitions tie neighbours together, and Viterbi
 decoding picks the best sequence. Weights come from maximum likelihood (forward-backward,
 AdaGrad) on labelled pages that ``labelled_pages`` builds from a seed: articles in many
-layouts amid menus, headers, footers, sidebars, notices, adverts, forms and comments.
+layouts (elements of their own, named and unnamed containers, layout tables, paragraphs
+straight in the body) amid menus, headers, footers, sidebars, notices, adverts, forms and
+comments, with names that say something and with names that don't.
 
 Scripts, styles, comments, titles and other text that is never shown are not blocks.
-Character references are decoded, white space inside a block becomes one space, and the
+Character references are decoded within their run of text, so none forms across a tag; white space inside a block becomes one space, and the
 main blocks are joined in page order by one newline. Whole pages are read; the parser is
 linear in their length. All ancestors of a block count, with every word of their classes, ids and roles.
 
@@ -92,7 +94,7 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(map(html.unescape, parts)).split())
             if text:
                 _, place, label = stack[-1] if stack else ("", NOWHERE, None)
                 out.append((text, linked, place, label))
@@ -164,8 +166,10 @@ def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
                 pop()
             continue
         if tag in UNSHOWN:
-            end = lower.find(f"</{tag}", at)
+            # Where no end follows one place, none follows any later one.
+            end = -1 if tag in unclosed else lower.find(f"</{tag}", at)
             if end < 0:
+                unclosed.add(tag)
                 at = size if tag in ("script", "style", "title", "textarea") else at
             else:
                 end = page.find(">", end)
@@ -321,7 +325,11 @@ def train(pages: list[str], rounds: int = 6, rate: float = 0.3, decay: float = 1
     return field
 
 
-def labelled_pages(count: int, seed: int = 0) -> list[str]:
+#: Where generated articles stand, and how often.
+SHAPES = {"article": 36, "main": 10, "listed": 17, "section": 6, "unlisted": 10, "bare": 12, "table": 9}
+
+
+def labelled_pages(count: int, seed: int = 0, shapes: Container[str] = tuple(SHAPES)) -> list[str]:
     """Pages in which data-label="1" marks the elements of the article and 0 the rest."""
     r = random.Random(seed)
     syllables = [c + v for c in "bdfgklmnprstvz" for v in ("a", "e", "i", "o", "un", "er")]
@@ -386,18 +394,33 @@ def labelled_pages(count: int, seed: int = 0) -> list[str]:
             if r.random() < 0.06:
                 body.append(f'<div{names("advert")} data-label="0">{prose(1, 2)}</div>' if r.random() < 0.6 else f'<aside data-label="0"{names("side")}><h3>{words(1, 3)}</h3><p>{prose(1, 2)}</p></aside>')
         inner = "".join(body)
-        shape = r.random()
-        if shape < 0.5:
+        shape = r.choices([x for x in SHAPES if x in shapes], [n for x, n in SHAPES.items() if x in shapes])[0]
+        if shape == "article":
             return f'<article data-label="1"{names("main") if r.random() < 0.4 else ""}>{inner}</article>'
-        if shape < 0.65:
+        if shape == "main":
             return f'<main data-label="1"{names("main") if r.random() < 0.4 else ""}>{inner}</main>'
-        if shape < 0.9:
+        if shape == "listed":
             return f'<div data-label="1" {r.choice(["class", "id"])}="{r.choice(GROUPS["main"].split())}{r.choice(["", "-body", "-text"])}">{inner}</div>'
-        return f'<section data-label="1">{inner}</section>'
+        if shape == "section":
+            return f'<section data-label="1">{inner}</section>'
+        if shape == "unlisted":
+            return f'<div data-label="1"{strange()}>{inner}</div>'
+        if shape == "table":
+            side = r.choice([menu, sidebar, menu])()
+            cells = [f'<td data-label="0"{r.choice([strange(), "", " width=120"])}>{side}</td>', f'<td data-label="1"{r.choice([strange(), "", ""])}>{inner}</td>']
+            return f"<table><tr>{''.join(cells)}</tr></table>"
+        return inner if r.random() < 0.7 else f"{prose(2, 6)}<br><br>{prose(2, 6)}"
+
+    def strange() -> str:
+        """Names that say nothing, as many as stylesheets have."""
+        return f' {r.choice(["class", "class", "id"])}="{" ".join("-".join(word() for _ in range(r.randint(1, 3))) for _ in range(r.choice([1, 1, 2, 4])))}"'
+
+    def marked(piece: str) -> str:
+        return re.sub(r"^<(\w+)", r'<\1 data-label="0"', piece, count=1)
 
     def menu() -> str:
         items = "".join(f"<li>{link(words(1, 2).capitalize() + r.choice(['', '', '.', ',']))}</li>" for _ in range(r.randint(2, 9)))
-        return r.choice([f"<nav{names('menu')}><ul>{items}</ul></nav>", f'<div class="{r.choice(GROUPS["menu"].split())}"><ul>{items}</ul></div>'])
+        return r.choice([f"<nav{names('menu')}><ul>{items}</ul></nav>", f'<div class="{r.choice(GROUPS["menu"].split())}"><ul>{items}</ul></div>', f"<div{strange()}><ul>{items}</ul></div>"])
 
     def header() -> str:
         return f"<header{names('head')}><{(t := r.choice(['h1', 'div', 'p', 'h2']))}>{words(1, 5).title()}</{t}>" + (f"<p>{sentence()}</p>" if r.random() < 0.5 else "") + (menu() if r.random() < 0.4 else "") + "</header>"
@@ -428,15 +451,16 @@ def labelled_pages(count: int, seed: int = 0) -> list[str]:
     for _ in range(count):
         before = [f() for f, p in ((notice, 0.2), (header, 0.4), (menu, 0.8), (form, 0.15), (advert, 0.5), (sidebar, 0.2)) if r.random() < p]
         after = [f() for f, p in ((advert, 0.2), (sidebar, 0.3), (comments, 0.35), (form, 0.2), (notice, 0.15), (footer, 0.9)) if r.random() < p]
-        body = "".join(before) + article() + "".join(after)
-        if r.random() < 0.2:
-            body = f'<div id="{r.choice(["page", "wrapper", "container", "root"])}">{body}</div>'
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var t='</p>';</script></head><body>{body}</body></html>")
+        body = "".join(map(marked, before)) + article() + "".join(map(marked, after))
+        if r.random() < 0.3:
+            body = f'<div{r.choice([f""" id="{r.choice(["page", "wrapper", "container", "root"])}\"""", strange()])}>{body}</div>'
+        # What has no label of its own is an article that stands straight in the body.
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var t='</p>';</script></head><body data-label=\"1\">{body}</body></html>")
     return pages
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 500, seed: int = 0) -> BlockField:
+def trained(pages: int = 800, seed: int = 0) -> BlockField:
     """The field trained on that many labelled pages; a few seconds, once a driver."""
     return train(labelled_pages(pages, seed))
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -187,6 +188,46 @@ def test_field_on_unseen_pages():
     assert right / total > 0.99
 
 
+def share_right(field, pages):
+    right = total = 0
+    for page in pages:
+        blocks = H.blocks_of(page)
+        labels = field.decode([field.emission(b) for b in blocks])
+        right += sum(y == (b[3] or 0) for b, y in zip(blocks, labels, strict=True))
+        total += len(blocks)
+    return right / total
+
+
+@pytest.mark.parametrize("held_out", [("table",), ("unlisted",), ("bare",), ("main", "section")])
+def test_field_on_unseen_layouts(held_out):
+    """Trained without a layout, tested on it alone."""
+    field = H.train(H.labelled_pages(500, shapes=[s for s in H.SHAPES if s not in held_out]))
+    assert share_right(field, H.labelled_pages(150, seed=99, shapes=held_out)) > 0.95
+
+
+PROSE = "Some words, of an article, that go on for a while."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body>{f'<p>{PROSE}</p>' * 3}</body>", [PROSE] * 3), (f"<table><tr><td><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></td><td><p>{PROSE}</p><p>{PROSE}</p></td></tr></table>", [PROSE] * 2),
+        (f'<div class="story-lead">{f"<p>{PROSE}</p>" * 2}</div>', [PROSE] * 2), (f'<article><p>{PROSE}</p></article>', [PROSE]), (f'<div id="mw-content-text"><p>{PROSE}</p></div>', [PROSE]),
+        (f'<table><tr><td class="post"><p>{PROSE}</p></td></tr></table>', [PROSE]), (f'<nav><ul><li><a href="/">Home</a></ul></nav><h1>A title of it</h1><p>{PROSE}</p><p>{PROSE}</p><footer>© 2020 Someone</footer>', ["A title of it", PROSE, PROSE]),
+        (f'<header><p>{PROSE}</p></header><div class="js-x k7"><p>{PROSE}</p><p>{PROSE}</p></div><div class="cookie-notice"><p>We use cookies.</p></div>', [PROSE] * 2),
+    ],
+)
+def test_plain_layouts(page, text):
+    assert H.trained().text(page).split("\n") == text
+
+
+def test_hostile_pages_take_seconds():
+    for page in ("<svg>" * 200_000, "<noscript>" * 100_000, "<p><object>" * 100_000, "<template><iframe>" * 60_000, "<script>x</script>" * 60_000):
+        began = time.perf_counter()
+        H.blocks_of(page)
+        assert len(page) >= 10**6 and time.perf_counter() - began < 4
+
+
 def test_viterbi_against_every_labelling():
     import itertools
     import random
@@ -210,6 +251,7 @@ def test_viterbi_against_every_labelling():
         ("", []), ("<p>a &amp; b&nbsp; c<br>d", ["a & b c d"]), ("<ul><li>x<li>y</ul>z", ["x", "y", "z"]), ("<script>var a='</p>';</script>t", ["t"]), ("<!-- <p>no</p> -->yes<!-- open", ["yes"]),
         ("a < b<p", ["a < b"]), ("<p>one<b>two</b>three</p></div>four", ["onetwothree", "four"]), ('<p title="a>b">t</p>', ["t"]), ("<title>no</title><textarea>no</textarea>x", ["x"]), ("<p> </p>", []),
         ('<p title="open>t', ["t"]), ("<script>never closed", []), ("</p></p>x<![CDATA[y]]>z", ["xz"]), ("&#x41;&copy;&bogus;", ["A©&bogus;"]),
+        ("a&<b>amp;</b>", ["a&amp;"]), ("&lt<i>;x</i>", ["<;x"]), ("&am<!-- -->p;", ["&amp;"]), ("<svg>a<p>b</p>", ["a", "b"]),
     ],
 )
 def test_blocks(page, blocks):
