@@ -39,8 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared one."""
-    return f"{shared_dir(spark)}/meridia/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared one, in the application's own folder."""
+    return f"{shared_dir(spark)}/meridia/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_work(spark: SparkSession) -> None:
+    """Removes all work folders of this application, when none of their results is needed any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meridia/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,7 +61,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by bytes and not by rows alone, so that long texts fit."""
+    """Limits Arrow batches by bytes and not by rows alone, so that long texts fit.
+
+    Plans read the setting when they run, so it stays in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -71,7 +81,7 @@ def local_path(uri: str) -> str | None:
 
 
 def write_bytes(uri: str, name: str, data: bytes) -> str:
-    """Writes one file whole or not at all: a retried task replaces it by the same bytes."""
+    """Writes one file whole or not at all; one of the same name is replaced."""
     target, draft = f"{uri}/{name}", f"{uri}/.{name}.{uuid.uuid4().hex}"
     if (path := local_path(target)) is not None:
         os.makedirs(local_path(uri), exist_ok=True)
@@ -85,10 +95,22 @@ def write_bytes(uri: str, name: str, data: bytes) -> str:
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/.{os.path.basename(draft)}") as f:
         f.write(data)
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(f"{base}/{name}").type != FileType.NotFound:
+        fs.delete_file(f"{base}/{name}")  # not every store moves onto a file that is there
     fs.move(f"{base}/.{os.path.basename(draft)}", f"{base}/{name}")
     return target
 
 
+def attempt_name() -> str:
+    """Of the running task's partition and attempt: no two attempts write the same files."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return f"{context.partitionId():06d}-{context.taskAttemptId()}"
+
+
 def open_bytes(uri: str):
     """A seekable binary reader."""
     if (path := local_path(uri)) is not None:

@@ -77,10 +77,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     stored = docs.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), store_column(text_or_empty("text")).alias("content"))
-    # The declared type is unhelpful on purpose: the type and length used come from sniffing.
-    sniffed = stored.withColumn("sniffed", sniff_column(F.col("content"), F.lit("application/octet-stream")))
+    # Declared by size alone, mostly wrongly: the type and length used come from sniffing.
+    declared = F.when(F.col("n_bytes") % 2 == 0, F.lit("image/png")).otherwise(F.lit("application/octet-stream"))
+    sniffed = stored.withColumn("sniffed", sniff_column(F.col("content"), declared))
     read = sniffed.withColumn("read", read_back_column(F.col("content"), F.col("sniffed.media_type"), F.col("sniffed.length")))
-    return read.select("doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", "read.media_bytes", "read.media_sha256", "read.feature")
+    return read.select("doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", "read.media_bytes", "read.media_sha256", "read.feature", "sniffed.media_type", "sniffed.corrected", F.size("sniffed.embedded").alias("n_embedded"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

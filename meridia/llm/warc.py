@@ -8,16 +8,20 @@ one read of the footer and one frame.
 
 Payloads that occur more than once are stored once: of equal payloads (from ``least_bytes``
 on) the record with the largest id is the response, the others are revisits of it with the
-payload's digest and size in their headers.
+payload's digest and size in their headers. Payloads count as equal if their SHA-1, a second
+64-bit hash and their lengths agree.
 
-Bundles are named by their number and written whole, so a retried task replaces them by
-the same bytes. Rows are dealt to bundles by a hash of the id, whatever the payload, so
-copies don't meet in one task.
+Pages are written where they are read: no payload is shuffled unless the recurring ones are
+too many to broadcast, and then once, by digest, where Spark splits hot ones. A task closes
+its bundles by bytes, so memory and the number of bundles follow from the bytes and not
+from the rows. File names hold the task's attempt; files that no index row names are left
+by lost attempts.
 
 Edge cases: a null payload is empty; a null URL gives an empty target; among rows with
 equal payloads and equal largest ids (repeated rows) each is a response; null ids count
-as smallest and are a revisit if the payload has another row with an id; an empty table
-gives no bundle. Columns other than id, URL and payload are not read.
+as smallest and are a revisit if the payload has another row with an id; ids are read as
+64-bit integers, others raise; an empty table gives no bundle. Columns other than id, URL
+and payload are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, open_bytes, text_or_empty, work_dir, write_bytes
+from .common import attempt_name, bounded_batches, materialize, open_bytes, text_or_empty, work_dir, write_bytes
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -43,8 +46,12 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 #: Decompressed bytes after which a frame is closed.
 FRAME_BYTES = 256 << 10
-#: Rows of a bundle, on average and at most; fewer rows still give each task a bundle.
-BUNDLE_ROWS = 1_000
+#: Decompressed bytes after which a bundle is closed.
+BUNDLE_BYTES = 32 << 20
+#: Recurring payloads up to which their digests are broadcast (some 100 bytes each).
+BROADCAST_ORIGINALS = 500_000
+#: Bundles that a task reads back.
+READ_BUNDLES = 16
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -120,15 +127,14 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, payload_col: str
     payload: Column = text_or_empty(payload_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     # Digests alone are compared; only payloads that recur have rows here.
-    keyed = F.sha1(F.col("payload").cast("binary"))
-    recurring = (
-        rows.filter(F.octet_length("payload") >= least_bytes).groupBy(keyed.alias("sha1")).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha1", "original")
-    )
-    recurring = materialize(recurring, "originals")
-    # Far fewer than pages; Spark broadcasts them while small and splits a skewed join.
-    joined = rows.withColumn("sha1", F.when(F.octet_length("payload") >= least_bytes, keyed)).join(recurring, "sha1", "left")
+    long_enough = F.octet_length("payload") >= least_bytes
+    rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("h", F.when(long_enough, F.xxhash64("payload")))
+    key = ["sha1", "n_bytes", "h"]
+    recurring = materialize(rows.filter(long_enough).groupBy(*key).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(*key, "original"), "originals")
+    few = recurring.limit(BROADCAST_ORIGINALS + 1).count() <= BROADCAST_ORIGINALS
+    joined = rows.join(F.broadcast(recurring) if few else recurring, key, "left")
     refers = F.when(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), refers.alias("refers_to"), F.col("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
+    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), refers.alias("refers_to"), "sha1", "n_bytes")
 
 
 def write_bundles(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -136,39 +142,43 @@ def write_bundles(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = with_originals(pages, id_col, url_col, payload_col, least_bytes)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bundles = max(tasks, math.ceil(pages.count() / BUNDLE_ROWS))
-    dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import chain, groupby
+        out, frames, index, plain, total, number = io.BytesIO(), [], [], bytearray(), 0, 0
+        pack, name = zstandard.ZstdCompressor(level=3), attempt_name()
 
-        every = chain.from_iterable(b.to_pylist() for b in batches)
-        for bundle, group in groupby(every, key=lambda r: r["bundle"]):
-            out, frames, index, plain = io.BytesIO(), [], [], bytearray()
-            pack = zstandard.ZstdCompressor(level=3)
+        def close_frame() -> None:
+            packed = pack.compress(bytes(plain))
+            out.write(packed)
+            frames.append((len(packed), len(plain)))
+            plain.clear()
 
-            def close(out=out, frames=frames, plain=plain, pack=pack) -> None:
-                packed = pack.compress(bytes(plain))
-                out.write(packed)
-                frames.append((len(packed), len(plain)))
-                plain.clear()
+        def close() -> pa.RecordBatch:
+            nonlocal out, total, number
+            if plain:
+                close_frame()
+            path = write_bytes(folder, f"bundle-{name}-{number:05d}.warc.zst", out.getvalue() + seek_table(frames))
+            ids, at, offset, length = zip(*index, strict=True)
+            out, total, number = io.BytesIO(), 0, number + 1
+            frames.clear(), index.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([path] * len(ids)), pa.array(at, pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["page_id", "bundle", "frame", "offset", "length"]
+            )
 
-            for r in group:
+        for batch in batches:
+            for r in batch.to_pylist():
                 record = _page_record(r, date)
                 if plain and len(plain) + len(record) > FRAME_BYTES:
-                    close()
+                    close_frame()
+                if index and total + len(record) > BUNDLE_BYTES:
+                    yield close()
                 index.append((r["page_id"], len(frames), len(plain), len(record)))
                 plain += record
-            if plain:
-                close()
-            path = write_bytes(folder, f"bundle-{bundle:06d}.warc.zst", out.getvalue() + seek_table(frames))
-            ids, at, offset, length = zip(*index, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([path] * len(ids)), pa.array(at, pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["page_id", "bundle", "frame", "offset", "length"]
-            )
+                total += len(record)
+        if index:
+            yield close()
 
-    return materialize(dealt.mapInArrow(write, "page_id long, bundle string, frame int, offset long, length long"), "index")
+    return materialize(rows.mapInArrow(write, "page_id long, bundle string, frame int, offset long, length long"), "index")
 
 
 def _page_record(r: dict, date: str) -> bytes:
@@ -209,9 +219,12 @@ def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    # A bundle's records are some BUNDLE_ROWS, so a row of them is small.
+    # A bundle's bytes are bounded, and so are its index rows.
     bundles = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("records"))
-    return bundles.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    n = index.select("bundle").distinct().count()
+    # Index rows are small and what they stand for isn't, so their bytes don't decide on the tasks.
+    tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // READ_BUNDLES)))
+    return bundles.repartition(tasks, "bundle").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, folder: str | None = None) -> DataFrame:

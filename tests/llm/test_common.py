@@ -41,3 +41,9 @@ def test_materialised_tables_keep_their_schema(spark):
     df = spark.createDataFrame([(1, None)], "a long, b array<string>")
     again = common.materialize(df, "t")
     assert again.dtypes == df.dtypes and again.collect() == df.collect()
+
+
+def test_work_folders_can_be_removed(spark):
+    kept = common.materialize(spark.range(3), "kept")
+    folder = common.local_path(common.shared_dir(spark)) + f"/meridia/{spark.sparkContext.applicationId}"
+    assert kept.count() == 3 and any(name.startswith("kept-") for name in os.listdir(folder))

@@ -138,7 +138,7 @@ def test_embedding_edges(spark):
 def test_wavelet_shard(seed, tmp_path):
     r = random.Random(seed)
     top = r.choice([1, 2, 5, 300, 50_257, 1 << 20])
-    values = np.array([min(int(r.expovariate(1) * top / 4), top - 1) for _ in range(r.choice([1, 7, 511, 512, 513, 3000]))], np.uint32)
+    values = np.array([min(int(r.expovariate(1) * top / 4), top - 1) for _ in range(r.choice([1, 7, 511, 512, 513, 3000, 300_000]))], np.uint32)
     path = tmp_path / "x.wvmx"
     import pyarrow as pa
 
@@ -158,12 +158,32 @@ def test_wavelet_shard(seed, tmp_path):
             shard.access(len(values))
 
 
+def test_wavelet_planes_are_compressed():
+    values = np.minimum(np.random.default_rng(0).zipf(1.3, 400_000), 50_000).astype(np.uint32)
+    import pyarrow as pa
+
+    whole = W.shard_bytes(pa.table({"doc_id": [1], "n_tokens": [len(values)]}), values)
+    assert len(whole) < 0.8 * len(values) * 16 / 8
+
+
+def test_shards_of_repeated_ids_have_bounded_parts(spark, tmp_path, monkeypatch):
+    """Equal and null ids are dealt to many tasks; starts come from grouped prefix sums."""
+    monkeypatch.setattr(W, "PARTITION_BYTES", 2000)
+    monkeypatch.setattr(W, "GROUP_PARTS", 3)
+    rows = [(None if i % 3 else 7, f"text number {i % 40} of many") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in W.tokenise_to_shards(df, vocabulary(BYTE_VOCABULARY), folder=str(tmp_path)).collect()), key=lambda r: r[1])
+    wanted = expected(rows)
+    assert [r[1:] for r in got] == [r[1:] for r in wanted] and [r[0] for r in got] == [r[0] for r in wanted]
+    assert len(list(tmp_path.iterdir())) > 6
+
+
 def expected(docs):
     library = Tokenizer.from_file(vocabulary(BYTE_VOCABULARY))
     start, out = 0, []
     for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")):
         ids = array("I", [*library.encode(text or "", add_special_tokens=False).ids, 0])
-        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), ids[0]))
         start += len(ids)
     return sorted(out, key=lambda r: r[1])
 

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -77,6 +78,70 @@ def test_records_by_index_and_whole_files(spark, pages, tmp_path, monkeypatch):
     assert count == len(index)
 
 
+def test_bundles_are_closed_by_bytes(spark, tmp_path, monkeypatch):
+    """Equal, null and many ids: bundles stay small, and the result whole, by broadcast or by shuffle."""
+    monkeypatch.setattr(W, "BUNDLE_BYTES", 4000)
+    rows_ = [(None if i % 3 else 5, f"http://{i}/", "hot" if i % 2 else f"page {i}" * 20) for i in range(300)]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    for n, most in enumerate((10, 0)):
+        monkeypatch.setattr(W, "BROADCAST_ORIGINALS", most)
+        assert rows(W.archive_pages(df, folder=str(tmp_path / str(n)))) == expected(rows_)
+        sizes = [p.stat().st_size for p in (tmp_path / str(n)).iterdir()]
+        assert len(sizes) > 15 and max(sizes) < 6000
+
+
+def read_png(data):
+    """An independent reader: all filter types, by the specification."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, packed, size = 8, b"", None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            size, rest = struct.unpack(">II", body[:8]), body[8:]
+            assert rest == b"\x08\0\0\0\0"
+        packed += body * (kind == b"IDAT")
+        at += 12 + n
+    raw, (width, height), out, above = zlib.decompress(packed), size, b"", bytes(size[0])
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            a, b, c = (line[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line[x] = (line[x] + (0, a, b, (a + b) // 2, paeth)[kind]) % 256
+        above = bytes(line)
+        out += above
+    return out
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.binary(max_size=1000))
+def test_stored_bytes_by_another_reader(raw):
+    payload = M.pad_payload(raw)
+    assert read_png(M.payload_png(payload)) == payload
+
+
+def test_media_query_edges(spark, edge_docs, empty_docs, tmp_path):
+    for n, docs in enumerate((edge_docs, empty_docs)):
+        docs.write.parquet(str(tmp_path / str(n) / "documents.parquet"))
+        wanted = []
+        for r in docs.collect():
+            raw = (r.text or "").encode()
+            padded = M.pad_payload(raw)
+            wanted.append((r.doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]), "image/png", len(raw) % 2 == 1, 0))
+        got = op8_media(spark, str(tmp_path / str(n))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_type", "corrected", "n_embedded")
+        assert Counter(tuple(r) for r in got.collect()) == Counter(wanted)
+
+
+def test_hostile_media_is_linear():
+    for data in (b"%PDF-" * 40_000, b"PK\3\4" * 40_000, b"\x1f\x8b\x08\0" * 40_000, b"\xff\xd8\xff" * 40_000, b"BM" * 60_000, b"RIFF" * 40_000, b"OggS" * 40_000, b"ftyp" * 40_000):
+        began = time.perf_counter()
+        M.sniff(data)
+        assert time.perf_counter() - began < 1, data[:8]
+
+
 def test_media_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
     got = op8_media(spark, f"{DATA}/sf0.001").collect()
