@@ -11,9 +11,7 @@ cells, so that a vector meets some 2,000 strangers at most, and more tables keep
 A first pass over 128-bit sign sketches drops the entries of a cell that resemble no other
 entry there, before any vector travels; of a million strangers one passes.
 
-Work is cut into blocks: of each cell, at most some BLOCK_ROWS standing and as many probing
-vectors meet in a task, and larger cells are dealt by hash to a grid of such blocks, so no
-cell is gathered anywhere. A vector's cells are computed once and travel with it as a short
+Cells are compared in blocks of bounded size, so none is gathered anywhere. A vector's cells are computed once and travel with it as a short
 code. By them both sides can tell the first table in which a pair meets, where alone it
 counts; a task returns link counts and spanning forests, not all pairs.
 
@@ -36,9 +34,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, resembling, small_pairs, whole_blocks
 from .common import bounded_batches, materialize
 from .components import connected_components
 
@@ -49,15 +48,6 @@ NEIGHBOURS = 2
 WIDTH = 2.0
 #: Sketches of vectors at cosine 0.9 differ in 18 of 128 bits on average, in more than 37 about once in a million pairs.
 SKETCH_BITS = 37
-BLOCK_ROWS = 256
-#: Entries of a cell up to which its pairs are listed together with those of other cells.
-SMALL_RUN = 16
-#: Large cells up to which they are broadcast (some 40 bytes each), and the parts of each beyond that.
-BROADCAST_CELLS = 200_000
-CELL_PARTS = 32
-
-BY_BLOCK = ["t", "cell", "i", "j"]
-STANDS_AND_PROBES, STANDS, PROBES = 0, 1, 2
 
 
 def e8_roots() -> np.ndarray:
@@ -203,115 +193,14 @@ def _entries(nodes: DataFrame, plan: tuple[int, int], seed: int) -> DataFrame:
     return nodes.select("node", "dim", "code", "s1", "s2").mapInArrow(enter, "node long, t int, cell long, own boolean, s1 long, s2 long")
 
 
-def _dealt(entries: DataFrame) -> DataFrame:
-    """Entries dealt to blocks (t, cell, i, j) of bounded size, with the side they take there."""
-    parts = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK_ROWS))).cast("int")
-    sizes = entries.groupBy("t", "cell").agg(F.sum(F.col("own").cast("int")).alias("n_own"), F.count(F.lit(1)).alias("n_all"))
-    large = materialize(sizes.filter((F.col("n_all") > BLOCK_ROWS) & (F.col("n_own") > 0)).select("t", "cell", parts("n_own").alias("is"), parts("n_all").alias("js")), "large")
-    many = large.limit(BROADCAST_CELLS + 1).count() > BROADCAST_CELLS
-    if many:
-        # A large cell's entries meet its size in as many places as it has parts.
-        part: Column = F.pmod(F.xxhash64("node"), F.lit(CELL_PARTS)).cast("int")
-        spread = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))))
-        joined = entries.withColumn("part", part).join(spread, ["t", "cell", "part"], "left").drop("part")
-    else:
-        joined = entries.join(F.broadcast(large), ["t", "cell"], "left")
-    kept = [c for c in entries.columns if c not in ("t", "cell")]
-    whole = joined.filter("is is null").select("t", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("own"), STANDS_AND_PROBES).otherwise(PROBES).alias("side"), *kept)
-    # What stands in a large cell goes to its row of the grid, and everything to its column.
-    salt = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
-    last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cut = joined.filter("is is not null")
-    standing = cut.filter("own").select("t", "cell", salt("is").alias("i"), F.explode(last("js")).alias("j"), F.lit(STANDS).alias("side"), *kept)
-    probing = cut.select("t", "cell", F.explode(last("is")).alias("i"), salt("js").alias("j"), F.lit(PROBES).alias("side"), *kept)
-    parts_ = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return whole.unionByName(standing).unionByName(probing).repartition(parts_, *BY_BLOCK).sortWithinPartitions(*BY_BLOCK)
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Tables of whole blocks in their order, with where each starts and ends; a block waits for its end."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        keys = np.column_stack([table[c].to_numpy() for c in BY_BLOCK])
-        starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1))
-        if len(starts) > 1:
-            yield table.slice(0, starts[-1]).combine_chunks(), starts[:-1], starts[1:]
-        rest = table.slice(starts[-1])
-    if rest is not None and len(rest):
-        yield rest.combine_chunks(), np.array([0]), np.array([len(rest)])
-
-
-def _small_pairs(starts: np.ndarray, ends: np.ndarray, side: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of all pairs in small blocks where one stands and the other probes."""
-    small = (ends - starts > 1) & (ends - starts <= SMALL_RUN)
-    sizes = (ends - starts)[small]
-    until = np.repeat(ends[small], sizes)
-    rows = np.repeat(starts[small] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(until))
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lag in range(1, SMALL_RUN):
-        keep = rows + lag < until
-        rows, until = rows[keep], until[keep]
-        found_a.append(rows)
-        found_b.append(rows + lag)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    fit = ((side[a] != PROBES) & (side[b] != STANDS) | (side[b] != PROBES) & (side[a] != STANDS)) & (node[a] != node[b])
-    return a[fit], b[fit]
-
-
-def _resembling(dealt: DataFrame) -> DataFrame:
-    """The entries of a cell whose sketch is close to another's there, without repeats."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, ends in _runs(batches):
-            side, node = table["side"].to_numpy(), table["node"].to_numpy()
-            # Unsigned: numpy counts the bits of absolute values.
-            s1, s2 = table["s1"].to_numpy().view(np.uint64), table["s2"].to_numpy().view(np.uint64)
-            close = np.zeros(len(table), np.bool_)
-            a, b = _small_pairs(starts, ends, side, node)
-            near = np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b]) <= SKETCH_BITS
-            close[a[near]] = close[b[near]] = True
-            for n in np.flatnonzero(ends - starts > SMALL_RUN).tolist():
-                at = np.arange(starts[n], ends[n])
-                a, b = at[side[at] != PROBES], at[side[at] != STANDS]
-                if len(a) and len(b):
-                    near = np.bitwise_count(s1[a][:, None] ^ s1[b]) + np.bitwise_count(s2[a][:, None] ^ s2[b]) <= SKETCH_BITS
-                    near &= node[a][:, None] != node[b]
-                    close[a[near.any(axis=1)]] = close[b[near.any(axis=0)]] = True
-            if close.any():
-                yield from table.filter(pa.array(close)).select(["node", "t", "cell", "own"]).to_batches()
-
-    return dealt.mapInArrow(keep, "node long, t int, cell long, own boolean").distinct()
-
-
-class Forest:
-    """Spanning forests of the links seen so far."""
-
-    def __init__(self):
-        self.above: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
-
-    def _top(self, x: int) -> int:
-        above = self.above
-        while (up := above.setdefault(x, x)) != x:
-            above[x] = x = above.setdefault(up, up)
-        return x
-
-    def add(self, a: int, b: int) -> None:
-        x, y = self._top(a), self._top(b)
-        if x != y:
-            self.above[y] = x
-            self.edges.append((a, b))
-
-
 def _verified(dealt: DataFrame, plan: tuple[int, int], least: float, seed: int) -> DataFrame:
     """(node, links, other): link counts where other is null, else edges of a spanning forest."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, ends in _runs(batches):
+        for table, starts, ends in whole_blocks(batches):
             side, node, weight, t = (table[c].to_numpy() for c in ("side", "node", "weight", "t"))
             links, forest = np.zeros(len(table), np.int64), Forest()
-            pair_a, pair_b = _small_pairs(starts, ends, side, node)
+            pair_a, pair_b = small_pairs(starts, ends, side, node)
             for rows, unit in _matrix(table["vector"].combine_chunks()):
                 lattice = _lattice(unit.shape[1], *plan, seed)
                 cells = lattice.unpack(table["code"].take(pa.array(rows)).to_pylist())
@@ -405,9 +294,9 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     hashed = rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("h1"), F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(seed), "vector")).alias("h2"))
     distinct = hashed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector"))
     nodes = materialize(_indexed(distinct, plan, seed).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    close = materialize(_resembling(_dealt(_entries(nodes, plan, seed))), "close")
+    close = materialize(resembling(deal(_entries(nodes, plan, seed)), ["s1", "s2"], SKETCH_BITS), "close")
     with_vectors = close.join(nodes.select("node", "weight", "code", "vector"), "node")
-    verified = materialize(_verified(_dealt(with_vectors), plan, least, seed), "verified")
+    verified = materialize(_verified(deal(with_vectors), plan, least, seed), "verified")
     links = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     per_node = nodes.select("h1", "h2", "node", "least_id", "weight").join(links, "node", "left").join(components, "node", "left")

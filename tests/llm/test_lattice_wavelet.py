@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from meridia.llm import blocks
 from meridia.llm import lattice as E
 from meridia.llm import wavelet as W
 from meridia.llm.common import local_path
@@ -72,7 +73,7 @@ def crowded():
 
 @pytest.mark.parametrize("block", [16, 512])
 def test_links_against_brute_force(spark, monkeypatch, crowded, block):
-    monkeypatch.setattr(E, "BLOCK_ROWS", block)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
     df = spark.createDataFrame(crowded, "vec_id long, embedding array<double>")
     got, wanted = found(E.near_duplicate_vectors(df)), result(crowded)
     links, all_links = (sum(k[1] * n for k, n in c.items()) for c in (got, wanted))
@@ -112,9 +113,9 @@ def test_shared_ids(spark):
 @pytest.mark.parametrize("many", [False, True])
 def test_hot_cells_either_way(spark, monkeypatch, many):
     """Large cells are found by broadcast or by a salted join, with the same links."""
-    monkeypatch.setattr(E, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
     if many:
-        monkeypatch.setattr(E, "BROADCAST_CELLS", 0)
+        monkeypatch.setattr(blocks, "BROADCAST_CELLS", 0)
     r = np.random.default_rng(6)
     centre = r.normal(size=32)
     rows = [(i, (centre + 0.05 * r.normal(size=32)).tolist()) for i in range(120)]

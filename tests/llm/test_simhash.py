@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from meridia.llm import blocks
 from meridia.llm import simhash as S
 from meridia.llm.components import connected_components
 from meridia.llm.queries import op6_simhash
@@ -90,11 +91,106 @@ def test_edges(spark, edge_docs, empty_docs):
     assert S.near_duplicates(empty_docs).collect() == []
     kept = S.drop_near_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns
-    component = {i: c for i, _, c in rows(S.near_duplicates(edge_docs))}
+    component = {str(r.doc_id): r.component_id for r in S.similar_texts(edge_docs).collect()}
+    assert component == {str(i): c for i, c in brute_similar(edge_docs.select("doc_id", "text").collect()).items()}
     expected = sorted(str(r.doc_id) for r in edge_docs.collect() if r.doc_id is None or str(component[str(r.doc_id)]) == str(r.doc_id))
     assert sorted(str(r.doc_id) for r in kept.select("doc_id").collect()) == expected
 
 
+def shingle_set(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar_pairs(sets, least=0.8):
+    """All pairs of different sets at that similarity."""
+    ordered, by, out = sorted(set(sets), key=sorted), {}, []
+    for n, s in enumerate(ordered):
+        for x in s:
+            by.setdefault(x, []).append(n)
+    common = {}
+    for group in by.values():
+        for k, a in enumerate(group):
+            for b in group[k + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    for (a, b), n in common.items():
+        if n >= least * (len(ordered[a]) + len(ordered[b]) - n):
+            out.append((ordered[a], ordered[b]))
+    return out
+
+
+def brute_similar(docs, least=0.8):
+    """The least id of each document's group, by Jaccard similarity of all pairs."""
+    by = [(i, shingle_set(t)) for i, t in docs if i is not None]
+    number = {s: n for n, s in enumerate({s for _, s in by})}
+    group = least_reachable(set(number.values()), [(number[a], number[b]) for a, b in similar_pairs([s for _, s in by], least)])
+    least_id = {}
+    for i, s in by:
+        least_id[group[number[s]]] = min(i, least_id.get(group[number[s]], i))
+    return {i: least_id[group[number[s]]] for i, s in by}
+
+
+def edited(r, words, share):
+    out = list(words)
+    for _ in range(max(1, round(share * len(words)))):
+        out[r.randrange(len(out))] = f"w{r.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
+    """Edited copies around the least similarity, and a crowd of copies of one text."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
+    r, texts = random.Random(block), []
+    for _ in range(120):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(40, 400))]
+        texts += [base, edited(r, base, r.choice([0.005, 0.01, 0.02, 0.03, 0.05]))]
+    crowd = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts += [edited(r, crowd, 0.005) for _ in range(150)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs += [(1000 + i, t.upper() + " ") for i, (_, t) in enumerate(docs[:30])]
+    got = {x.doc_id: x.component_id for x in S.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wanted = brute_similar(docs)
+    # Nothing is grouped that isn't linked, and few links are missed.
+    assert all(wanted[c] == wanted[i] for i, c in got.items())
+    pairs = [(i, i + 1) for i in range(0, 240, 2) if wanted[i] == wanted[i + 1]]
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.93 * len(pairs)
+    assert sum(got[i] == 240 for i in range(240, 390)) >= 148 and all(got[1000 + i] == got[i] for i in range(30))
+
+
+def test_similar_texts_of_a_table(spark):
+    """Recall of pairs over all of sf0.01."""
+    df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    docs = df.select("doc_id", "text").collect()
+    got = {x.doc_id: x.component_id for x in S.similar_texts(df).collect()}
+    wanted = brute_similar(docs)
+    assert all(wanted[c] == wanted[i] for i, c in got.items())
+    first = {}
+    for i, t in docs:
+        first.setdefault(shingle_set(t), i)
+    pairs = [(first[a], first[b]) for a, b in similar_pairs([shingle_set(t) for _, t in docs])]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_nearest_forest():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for _ in range(30):
+        d = r.integers(0, 100, size=(r.integers(1, 9), r.integers(1, 9)))
+        most = int(r.integers(0, 60))
+        got = list(blocks.nearest_forest(d, most))
+        nodes = {*range(d.shape[0]), *range(100, 100 + d.shape[1])}
+        tree, weight = set(), 0
+        parts = least_reachable(nodes, [])
+        for x, y in sorted(np.argwhere(d <= most).tolist(), key=lambda p: d[p[0], p[1]]):
+            if parts[x] != parts[100 + y]:
+                tree.add((x, y))
+                weight += d[x, y]
+                parts = least_reachable(nodes, [(a, 100 + b) for a, b in tree])
+        assert least_reachable(nodes, [(a, 100 + b) for a, b in got]) == parts and sum(d[x, y] for x, y in got) == weight
+
+
 def test_an_id_with_two_texts(spark):
     docs = spark.createDataFrame([(1, "one two three"), (5, "one two three"), (5, "something else here")], "doc_id long, text string")
     # Id 5 still names the second text's group, so its rows stay.
