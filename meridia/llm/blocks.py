@@ -85,7 +85,10 @@ def small_pairs(starts: np.ndarray, ends: np.ndarray, side: np.ndarray, node: np
 
 
 def resembling(dealt: DataFrame, sketch: list[str], most_bits: int) -> DataFrame:
-    """The entries of a cell whose sketch is close to another's there, without repeats."""
+    """(node, at): for each node its entries (t, cell, own) whose sketch is close to another's in the cell.
+
+    A node has a bounded number of entries, so a row for each node is bounded too.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_blocks(batches):
@@ -106,7 +109,14 @@ def resembling(dealt: DataFrame, sketch: list[str], most_bits: int) -> DataFrame
             if close.any():
                 yield from table.filter(pa.array(close)).select(["node", "t", "cell", "own"]).to_batches()
 
-    return dealt.mapInArrow(keep, "node long, t int, cell long, own boolean").distinct()
+    kept = dealt.mapInArrow(keep, "node long, t int, cell long, own boolean")
+    return kept.groupBy("node").agg(F.collect_set(F.struct("t", "cell", "own")).alias("at"))
+
+
+def with_columns(close: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The entries that resembling() keeps, with their nodes' columns."""
+    joined = nodes.join(close, "node")
+    return joined.withColumn("entry", F.explode("at")).select("entry.t", "entry.cell", "entry.own", *nodes.columns)
 
 
 class Forest:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, resembling, small_pairs, whole_blocks
+from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, resembling, small_pairs, whole_blocks, with_columns
 from .common import bounded_batches, materialize
 from .components import connected_components
 
@@ -295,7 +295,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     distinct = hashed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector"))
     nodes = materialize(_indexed(distinct, plan, seed).withColumn("node", F.monotonically_increasing_id()), "nodes")
     close = materialize(resembling(deal(_entries(nodes, plan, seed)), ["s1", "s2"], SKETCH_BITS), "close")
-    with_vectors = close.join(nodes.select("node", "weight", "code", "vector"), "node")
+    with_vectors = with_columns(close, nodes.select("node", "weight", "code", "vector"))
     verified = materialize(_verified(deal(with_vectors), plan, least, seed), "verified")
     links = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, nearest_forest, resembling, small_pairs, whole_blocks
+from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, nearest_forest, resembling, small_pairs, whole_blocks, with_columns
 from .common import bounded_batches, materialize, text_or_empty
 from .components import connected_components
 
@@ -279,7 +279,7 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     distinct = hashed.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("probes").alias("probes"))
     nodes = materialize(distinct.select(F.monotonically_increasing_id().alias("node"), *names, "probes", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
     close = materialize(resembling(deal(_segment_entries(nodes)), ["w0"], FIRST_BITS), "close")
-    links = materialize(_near_links(deal(close.join(nodes.select("node", *names), "node"))), "near")
+    links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names)))), "near")
     # Shingle sets of one document for each node that has a link.
     linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(linked, "node", "left_semi").select("node", F.col("least_id").alias("doc_id"), "h"), "wanted")
