@@ -1,7 +1,9 @@
 """Rows to features and feature sets as JSON.
 
 Attributes become variant objects, which keep null members and sort their keys. Arrays of
-features are ordered by a given column, as the order of an aggregate is not defined.
+features are ordered by ``order_by``; without it they are in the order in which rows are
+read, which holds over retries only if nothing was shuffled before. An array is one string
+made by one task: without ``by`` a whole table is, so write feature lines for large data.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ _PLACES = [
 def fetch(url: str, headers: dict[str, str]) -> tuple[int, str]:
     """Pages of three results, an empty one in between; a wrong token is refused in the body."""
     parts, query = urlsplit(url), {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
-    if headers.get("Authorization") != "Bearer canned":
+    if headers.get("X-Esri-Authorization") != "Bearer canned":
         return 200, json.dumps({"error": {"code": 498, "message": "Invalid token", "details": []}})
     if parts.path.endswith(("/near-point", "/within-extent")):
         page, size = int(query.get("offset", 0)), 3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -308,6 +309,101 @@ def attribute_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.to_json(encode.attributes(rows, ["small", "o_orderstatus", "o_orderkey", "o_orderdate"])).alias("attributes"))
 
 
+_SHAPES = {"POINT": "esriGeometryPoint", "MULTIPOINT": "esriGeometryMultipoint", "LINESTRING": "esriGeometryPolyline", "MULTILINESTRING": "esriGeometryPolyline", "POLYGON": "esriGeometryPolygon", "MULTIPOLYGON": "esriGeometryPolygon"}
+
+
+def _shaped(spark: SparkSession, sf_dir: str, shape: str, layout: str) -> DataFrame:
+    """Embeddings as coordinates of that layout in that shape; shapes of several parts get a second one of five coordinates."""
+    dim = len(layout)
+    coords = _matrix(dim, 64 // dim)
+    few = F.slice(coords, 1, 5)
+    made = {"POINT": F.get(coords, F.lit(0)), "MULTIPOINT": coords, "LINESTRING": coords, "MULTILINESTRING": F.array(coords, few), "POLYGON": F.array(coords, few), "MULTIPOLYGON": F.array(F.array(coords), F.array(few))}[shape]
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", made.alias("shape"))
+
+
+def _layout_query(shape: str):
+    many = shape not in ("POINT", "LINESTRING", "MULTIPOINT")
+    per = lambda layout: f"SELECT vec_id, '{layout}' AS layout, {2 if many else 1} AS n_parts, {64 // len(layout) + (5 if many else 0)} AS n_coords, {'Z' in layout} AS has_z, {'M' in layout} AS has_m, CAST(embedding[{64 // len(layout) * len(layout)}] AS DOUBLE) AS last, true AS back FROM embeddings"
+
+    def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = []
+        for layout in ("XY", "XYZ", "XYM", "XYZM"):
+            rows = _shaped(spark, sf_dir, shape, layout)
+            rows = rows.withColumn("g", G.geom_from_json(G.geometry_json(F.col("shape"), shape, layout), dim=len(layout)))
+            name = {"polyline": "paths", "polygon": "rings", "multipoint": "points"}[G.SHAPES[shape]]
+            parts = F.array(F.col("g")[name]) if shape == "MULTIPOINT" else F.col("g")[name]
+            # A multipolygon's rings are one list on the wire, so that is what comes back.
+            same = F.flatten(F.col("shape")) if shape == "MULTIPOLYGON" else F.col("shape")
+            again = F.flatten(G.to_shape(F.col("g"), shape)) if shape == "MULTIPOLYGON" else G.to_shape(F.col("g"), shape)
+            out.append(rows.select("vec_id", F.lit(layout).alias("layout"), F.size(parts).alias("n_parts"), F.size(F.flatten(parts)).alias("n_coords"), F.col("g.hasZ").alias("has_z"), F.col("g.hasM").alias("has_m"), F.element_at(F.element_at(parts[0], -1), -1).alias("last"), (again == same).alias("back")))
+        return reduce(DataFrame.unionByName, out)
+
+    layouts.__name__ = f"layouts_{shape.lower()}"
+    return query(" UNION ALL ".join(per(x) for x in ("XY", "XYZ", "XYM", "XYZM")))(layouts)
+
+
+def _column_set_query(shape: str, layout: str):
+    many = shape not in ("POINT", "LINESTRING", "MULTIPOINT")
+    n = 1 if shape == "POINT" else 64 // len(layout) + (5 if many else 0)
+
+    sql = f"SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS pos, {n} AS n_coords, '{_SHAPES[shape]}' AS geometry_type, {'Z' in layout} AS has_z, {'M' in layout} AS has_m, 4326 AS wkid, CAST(NULL AS BIGINT) AS geometry_wkid, 0 AS n_attributes FROM embeddings"
+    def column_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A geometry column alone as a set of each label."""
+        sets = encode.column_feature_set_json(_shaped(spark, sf_dir, shape, layout), "shape", shape, layout, sr={"wkid": 4326}, order_by="vec_id", by=["label"])
+        doc = F.parse_json("featureset")
+        rows = decode.generic_features(decode.explode_features(sets, "featureset", keep=("label", "featureset")), dim=len(layout))
+        g = F.col("geometry")
+        n_coords = {"point": F.when(g["x"].isNotNull() & g["y"].isNotNull(), 1), "multipoint": F.size(g["points"]), "polyline": F.size(F.flatten(g["paths"])), "polygon": F.size(F.flatten(g["rings"]))}[G.SHAPES[shape]]
+        return rows.select(
+            "label", F.col("feature_index").alias("pos"), n_coords.alias("n_coords"), checked.as_str(checked.member(doc, "geometryType")).alias("geometry_type"), checked.as_bool(checked.member(doc, "hasZ")).alias("has_z"), checked.as_bool(checked.member(doc, "hasM")).alias("has_m"),
+            G.spatial_reference(checked.member(doc, "spatialReference"))["wkid"].cast("int").alias("wkid"), g["spatialReference"]["wkid"].alias("geometry_wkid"), F.size("attributes").alias("n_attributes"),
+        )
+
+    column_set.__name__ = f"column_set_{shape.lower()}"
+    return query(sql)(column_set)
+
+
+for _shape in ("MULTIPOINT", "LINESTRING", "MULTILINESTRING", "POLYGON", "MULTIPOLYGON"):
+    _layout_query(_shape)
+for _shape, _layout in (("POINT", "XYZ"), ("LINESTRING", "XYM"), ("MULTILINESTRING", "XYZ"), ("POLYGON", "XY"), ("MULTIPOLYGON", "XYZ")):
+    _column_set_query(_shape, _layout)
+
+
+@query("SELECT vec_id, CAST(label AS INTEGER) AS label, 21 AS n_coords, CAST(embedding[63] AS DOUBLE) AS last_z, true AS has_z FROM embeddings")
+def featureset_with_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of lines in three dimensions, written and read with their third ordinate."""
+    rows = _shaped(spark, sf_dir, "LINESTRING", "XYZ")
+    sets = encode.feature_set_json(rows, ["vec_id", "label"], geometry="shape", shape="LINESTRING", layout="XYZ", order_by="vec_id", by=["label"], object_id="vec_id").withColumnRenamed("label", "of")
+    info = decode.FeatureSetInfo((decode.Field("vec_id", "esriFieldTypeOID"), decode.Field("label", "esriFieldTypeInteger")), "esriGeometryPolyline", {"wkid": 3857})
+    has_z = checked.as_bool(checked.member(F.parse_json("featureset"), "hasZ"))
+    got = decode.feature_set_table(sets.withColumn("has_z", has_z), "featureset", info=info, dim=3, keep_zm=True, keep=("has_z",))
+    path = F.col("geometry")[0]
+    return got.select("vec_id", "label", F.size(path).alias("n_coords"), F.element_at(path, -1)["z"].alias("last_z"), "has_z")
+
+
+@query("SELECT * FROM (VALUES (0, 'c_custkey', 'esriFieldTypeOID', NULL, NULL), (1, 'c_name', 'esriFieldTypeString', NULL, NULL), (2, 'c_acctbal', 'esriFieldTypeDouble', NULL, NULL), (3, 'where', NULL, 3, 'esriGeometryPoint')) AS v(position, name, field_type, geometry_index, geometry_type)")
+def geo_table_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decoded table's schema says about its columns."""
+    rows = customers(spark, sf_dir)
+    lines = rows.select(encode.feature_json(rows, ["c_custkey", "c_name", "c_acctbal"], "pt", "POINT").alias("value"))
+    schema = decode.features_from_lines(lines, customer_info(), geometry_name="where").schema
+    return spark.createDataFrame([(i, f.name, f.metadata.get("type"), f.metadata.get("index"), f.metadata.get("geometryType")) for i, f in enumerate(schema)], "position int, name string, field_type string, geometry_index int, geometry_type string")
+
+
+@query("SELECT * FROM (VALUES ('bigint', true), ('string', true), ('double', true), ('timestamp', true), ('binary', true), ('array<int>', false), ('map<string,int>', false), ('struct<a:int>', false)) AS v(type, accepted)")
+def attribute_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which column types can be attributes."""
+
+    def accepted(kind: str) -> bool:
+        try:
+            encode.check_attributes(spark.createDataFrame([], f"a {kind}").schema, ["a"])
+        except (TypeError, ValueError):
+            return False
+        return True
+
+    return spark.createDataFrame([(k, accepted(k)) for k in ("bigint", "string", "double", "timestamp", "binary", "array<int>", "map<string,int>", "struct<a:int>")], "type string, accepted boolean")
+
+
 # --- places ---------------------------------------------------------------------
 
 
@@ -394,12 +490,37 @@ def place_details_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("placeId").alias("place_id"), "address.country", "rating.price", F.lit(len(got.schema["address"].dataType.fields)).alias("n_address"), F.lit(n).alias("n_columns"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('c{i}', 'Canned {i}', CAST({10 + i} AS DOUBLE), CAST({100 * i} AS DOUBLE), '{10000 + i % 3}')" for i in range(1, 6)) + ") AS v(place_id, name, x, distance, category_id)")
-def places_rest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rest(spark: SparkSession, operation: str, **options: str) -> DataFrame:
     """The paged service as a data source, against an invented service that needs no network."""
     from ..sources.places_api import PlacesDataSource
 
     spark.dataSource.register(PlacesDataSource)
-    options = {"operation": "near-point", "baseUrl": "https://places.invalid/v1", "token": "canned", "x": "10", "y": "50", "radius": "500", "fetcher": "meridia.plans.canned:fetch"}
-    got = spark.read.format("places").options(**options).load()
+    return spark.read.format("places").options(operation=operation, baseUrl="https://places.invalid/v1", token="canned", fetcher="meridia.plans.canned:fetch", **options).load()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('c{i}', 'Canned {i}', CAST({10 + i} AS DOUBLE), '{10000 + i % 3}')" for i in (1, 4, 7)) + ") AS v(place_id, name, x, category_id)")
+def places_rest_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _rest(spark, "within-extent", xmin="0", ymin="0", xmax="90", ymax="90", categoryIds="10001")
+    return got.select(F.col("placeId").alias("place_id"), "name", "location.x", F.col("categories")[0]["categoryId"].alias("category_id"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('c{i}', 'Canned {i}', CAST({10 + i} AS DOUBLE), '{('Cafe', 'Stadium', 'Office')[i % 3]}', CAST(NULL AS VARCHAR))" for i in (3, 5)) + ") AS v(place_id, name, x, category, description)")
+def places_rest_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _rest(spark, "place-details", searches='[{"placeId": "c3"}, {"placeId": "c5"}]', requestedFields="name,location,categories")
+    return got.select(F.col("placeId").alias("place_id"), "name", "location.x", F.col("categories")[0]["label"].alias("category"), "description")
+
+
+@query("SELECT * FROM (VALUES ('10002', 'Places', 'Office')) AS v(category_id, top, label)")
+def places_rest_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rest(spark, "categories", filter="off").select(F.col("categoryId").alias("category_id"), F.col("fullLabel")[0].alias("top"), F.col("fullLabel")[1].alias("label"))
+
+
+@query("SELECT * FROM (VALUES ('10001', 'Stadium', CAST(NULL AS VARCHAR))) AS v(category_id, label, icon_url)")
+def places_rest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rest(spark, "category-details", categoryId="10001").select(F.col("categoryId").alias("category_id"), F.col("fullLabel")[1].alias("label"), F.col("icon.url").alias("icon_url"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('c{i}', 'Canned {i}', CAST({10 + i} AS DOUBLE), CAST({100 * i} AS DOUBLE), '{10000 + i % 3}')" for i in range(1, 6)) + ") AS v(place_id, name, x, distance, category_id)")
+def places_rest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _rest(spark, "near-point", x="10", y="50", radius="500")
     return got.select(F.col("placeId").alias("place_id"), "name", "location.x", "distance", F.col("categories")[0]["categoryId"].alias("category_id"))

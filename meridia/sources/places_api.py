@@ -24,12 +24,15 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructT
 
 from .. import types
 
+#: Fixed value of the service: the header that carries the token.
+TOKEN_HEADER = "X-Esri-Authorization"
+
 #: (url, headers) -> (status, body)
 Fetch = Callable[[str, dict[str, str]], tuple[int, str]]
 
 _SCHEMAS = {
     "near-point": types.PLACE_RESULT,
-    "within-extent": types.PLACE_RESULT,
+    "within-extent": types.EXTENT_RESULT,
     "place-details": types.PLACE_DETAILS,
     "categories": types.CATEGORY_DETAILS,
     "category-details": types.CATEGORY_DETAILS,
@@ -94,7 +97,7 @@ def http_fetch(url: str, headers: dict[str, str]) -> tuple[int, str]:
 
 def fetch_json(fetch: Fetch, url: str, token: str | None, retries: int = 3, wait_s: float = 0.5) -> dict:
     """One page. Errors in the body raise; server errors and broken connections are retried."""
-    headers = {"Authorization": f"Bearer {token}"} if token else {}
+    headers = {TOKEN_HEADER: f"Bearer {token}"} if token else {}
     for attempt in range(retries + 1):
         try:
             status, body = fetch(url, headers)

@@ -40,12 +40,8 @@ PLACE_DETAILS = (
     f"struct<additionalLocations:{ADDITIONAL_LOCATIONS},address:{ADDRESS},categories:array<{CATEGORY}>,chains:array<struct<name:string>>,contactInfo:{CONTACT},"
     f"description:string,hours:{HOURS},icon:{ICON},location:{XY},name:string,placeId:string,rating:{RATING},socialMedia:{SOCIAL}>"
 )
-PAGE_LINKS = "struct<nextUrl:string,previousUrl:string>"
 ERROR = "struct<code:bigint,details:array<string>,message:string,restInfoUrl:string>"
 
-ICONS = ("svg", "cim", "png")
-PRICES = ("cheap", "moderate", "expensive", "veryExpensive")
-
 
 def columns_of(struct: str) -> str:
     """The members of a struct type as a table schema, which has spaces for colons."""
