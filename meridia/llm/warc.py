@@ -219,12 +219,12 @@ def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    # A bundle's bytes are bounded, and so are its index rows.
-    bundles = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("records"))
     n = index.select("bundle").distinct().count()
     # Index rows are small and what they stand for isn't, so their bytes don't decide on the tasks.
     tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // READ_BUNDLES)))
-    return bundles.repartition(tasks, "bundle").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    # A bundle's bytes are bounded, and so are its index rows.
+    bundles = index.repartition(tasks, "bundle").groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("records"))
+    return bundles.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, folder: str | None = None) -> DataFrame:
