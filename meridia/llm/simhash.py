@@ -21,8 +21,8 @@ bits, each probed by the ball of radius two over its four least certain bits (th
 majority is narrowest), as these are the ones that edits flip. What meets in a segment is
 compared in blocks of bounded size, first by 64 bits, then by all; each task returns the
 nearest links that hold its documents together, and their Jaccard similarities are computed
-from the whole shingle sets. A pair of that similarity is found with a probability of some
-0.98 (measured recall in the README and tests). Links that other, nearer links of a task
+from the whole shingle sets. Most pairs at just that similarity are found, and nearly all of
+those above 0.9 (measured recall in the README and tests). Links that other, nearer links of a task
 imply aren't computed: were one of those below the least similarity, its pair would be lost.
 
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero and
