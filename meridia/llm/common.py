@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch sent to a Python worker; texts can be megabytes long.
 BATCH_BYTES = 8 << 20
+#: Keys that ``join_unique`` broadcasts at most, and rows of one key that it never splits.
+FREQUENT_KEYS, FREQUENT_ROWS = 100_000, 256
 #: Folders made for local sessions, by application; they go when the process ends.
 _own: dict[str, str] = {}
 
@@ -60,6 +62,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_unique(many: DataFrame, one: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Inner join with a table of unique, non-null keys whose column ``count`` says how many rows of ``many`` each has.
+
+    Frequent keys would land in one task each, so they are broadcast: those over a share of
+    all rows of which at most FREQUENT_KEYS keys can have so many. The rest are shuffled.
+    Both tables are read twice, so they should be written ones.
+    """
+    total = one.agg(F.sum(count)).first()[0] or 0
+    frequent = F.col(count) > max(FREQUENT_ROWS, total // FREQUENT_KEYS)
+    large, small = one.filter(frequent).drop(count), one.filter(~frequent).drop(count)
+    by_broadcast = many.join(F.broadcast(large), keys)
+    by_shuffle = many.join(F.broadcast(large.select(keys)), keys, "left_anti").join(small, keys)
+    return by_broadcast.unionByName(by_shuffle)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limits Arrow batches by bytes and not by rows alone, so that long texts fit.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_unique, materialize
 
 
 def _towards_least(links: DataFrame) -> DataFrame:
@@ -42,3 +42,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = tuple(now)
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def with_component_id(labelled: DataFrame) -> DataFrame:
+    """labelled (component, least_id, ...) with component_id, the least of its component's ids; written out."""
+    labelled = materialize(labelled, "labelled")
+    ids = materialize(labelled.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "ids")
+    return materialize(join_unique(labelled, ids, ["component"], "members"), "named")

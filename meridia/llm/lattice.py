@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, resembling, small_pairs, whole_blocks, with_columns
-from .common import bounded_batches, materialize
-from .components import connected_components
+from .common import bounded_batches, join_unique, materialize
+from .components import connected_components, with_component_id
 
 #: (vectors up to which it serves, tables, blocks): two vectors at cosine 0.9 meet in some table with probability 0.96.
 PLANS = [(2_000_000, 10, 2), (70_000_000, 29, 3), (1 << 62, 77, 4)]
@@ -300,9 +300,11 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     links = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     per_node = nodes.select("h1", "h2", "node", "least_id", "weight").join(links, "node", "left").join(components, "node", "left")
-    per_node = materialize(per_node.select("h1", "h2", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component")), "per-node")
-    least_ids = per_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = per_node.join(least_ids, "component").select("h1", "h2", "links", "component_id")
-    return hashed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
+    per_node = per_node.select("h1", "h2", "weight", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    named = with_component_id(per_node).select("h1", "h2", "weight", "links", "component_id")
+    ids = materialize(hashed.select("vec_id", "h1", "h2"), "ids")
+    of_nodes = join_unique(ids.filter("h1 is not null"), named, ["h1", "h2"], "weight").select("vec_id", "links", "component_id")
+    without = ids.filter("h1 is null").select("vec_id", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("component_id"))
+    return of_nodes.unionByName(without).select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept")
     )

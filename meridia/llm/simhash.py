@@ -44,8 +44,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, nearest_forest, resembling, small_pairs, whole_blocks, with_columns
-from .common import bounded_batches, materialize, text_or_empty
-from .components import connected_components
+from .common import bounded_batches, join_unique, materialize, text_or_empty
+from .components import connected_components, with_component_id
 
 SEED = 42
 #: Fingerprints in a bucket of one 32-bit segment above which it is cut again.
@@ -188,11 +188,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, fingerprint (16 hexadecimal digits), component_id, one row for each document."""
     bounded_batches(docs.sparkSession)
     hashed = materialize(docs.select(F.col(id_col).alias("doc_id"), simhash_column(text_or_empty(text_col), shingle).alias("fp")), "fingerprints")
-    distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
     components = connected_components(fingerprint_links(distinct.select("fp")))
-    labelled = distinct.join(components, distinct["fp"] == components["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    named = labelled.join(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("fp", "component_id")
-    return hashed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = distinct.join(components, distinct["fp"] == components["node"], "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
+    named = with_component_id(labelled).select("fp", "n", "component_id")
+    return join_unique(hashed, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _probes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -276,8 +276,8 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     names = [f"w{k}" for k in range(WORDS)]
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     hashed = materialize(known.select("doc_id", F.xxhash64("text").alias("h"), fingerprints("text").alias("f")).select("doc_id", "h", "f.*"), "wide")
-    distinct = hashed.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("probes").alias("probes"))
-    nodes = materialize(distinct.select(F.monotonically_increasing_id().alias("node"), *names, "probes", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
+    distinct = hashed.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("probes").alias("probes"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(distinct.select(F.monotonically_increasing_id().alias("node"), *names, "probes", "n", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
     close = materialize(resembling(deal(_segment_entries(nodes)), ["w0"], FIRST_BITS), "close")
     links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names)))), "near")
     # Shingle sets of one document for each node that has a link.
@@ -287,9 +287,9 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     first = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "h"])
     sets = materialize(first.select("node", shingles("text").alias("shingles")).dropDuplicates(["node"]), "sets")
     components = connected_components(_similar_enough(links, sets, least))
-    labelled = nodes.join(components, "node", "left").select(*names, "least_id", F.coalesce("component", "node").alias("component"))
-    named = labelled.join(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select(*names, "component_id")
-    return hashed.join(named, names).select("doc_id", "component_id")
+    labelled = nodes.join(components, "node", "left").select(*names, "n", "least_id", F.coalesce("component", "node").alias("component"))
+    named = with_component_id(labelled).select(*names, "n", "component_id")
+    return join_unique(hashed, named, names).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -47,3 +47,16 @@ def test_work_folders_can_be_removed(spark):
     kept = common.materialize(spark.range(3), "kept")
     folder = common.local_path(common.shared_dir(spark)) + f"/meridia/{spark.sparkContext.applicationId}"
     assert kept.count() == 3 and any(name.startswith("kept-") for name in os.listdir(folder))
+
+
+def test_frequent_keys_join_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    many = spark.range(500).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 40).cast("long").alias("k"), F.col("id").alias("v"))
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).filter("k <> 3")
+    expected = sorted(many.join(one.drop("n"), "k").collect())
+    for rows in (0, 20, 256, 1000):
+        monkeypatch.setattr(common, "FREQUENT_ROWS", rows)
+        found = common.join_unique(many, one, ["k"])
+        assert found.columns == ["k", "v", "top"] and sorted(found.collect()) == expected
+    assert common.join_unique(many.limit(0), one.limit(0), ["k"]).count() == 0
