@@ -132,6 +132,9 @@ class Forest:
             above[x] = x = above.setdefault(up, up)
         return x
 
+    def joins(self, a: int, b: int) -> bool:
+        return self._top(a) == self._top(b)
+
     def add(self, a: int, b: int) -> None:
         x, y = self._top(a), self._top(b)
         if x != y:

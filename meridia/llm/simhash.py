@@ -19,11 +19,13 @@ Edited copies at a shingle similarity of 0.8 are far apart for 64 bits, so a sec
 ``similar_texts``, uses 320 bits over the set of five-word shingles: twelve segments of 26
 bits, each probed by the ball of radius two over its four least certain bits (those whose
 majority is narrowest), as these are the ones that edits flip. What meets in a segment is
-compared in blocks of bounded size, first by 64 bits, then by all; each task returns the
-nearest links that hold its documents together, and their Jaccard similarities are computed
-from the whole shingle sets. Most pairs at just that similarity are found, and nearly all of
-those above 0.9 (measured recall in the README and tests). Links that other, nearer links of a task
-imply aren't computed: were one of those below the least similarity, its pair would be lost.
+compared in blocks of bounded size, first by 64 bits, then by all; each block returns the
+links found, but for those that far nearer links of the same block imply, and their Jaccard
+similarities are computed from the whole shingle sets. Most pairs at just that similarity are
+found, and nearly all of those above 0.9 (measured recall in the README and tests). A block of
+more than 16 rows returns a minimum spanning forest alone, by bits that differ: were one of its
+links below the least similarity, a pair that it stands for would be lost. What is found
+depends on the texts and the number of shuffle partitions only, not on the order of arrival.
 
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero and
 links like any other; fewer words than a shingle give one shingle of them all; null ids
@@ -33,6 +35,7 @@ stay; an empty table gives an empty result. Added columns replace those of the s
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -54,9 +57,7 @@ LARGE_BUCKET = 64
 BROADCAST_IDS = 1_000_000
 #: The wide fingerprint: words of 64 bits, segments and their bits, the uncertain bits of each and the radius of their ball.
 WORDS, SEGMENTS, SEGMENT_BITS, UNCERTAIN, RADIUS = 5, 12, 26, 4, 2
-#: Of 320 bits, texts at similarity 0.8 differ in 48 on average, in more than 64 once in 100 pairs; of the first 64, in more than 22 once in 10,000.
-WIDE_BITS, FIRST_BITS = 64, 22
-WIDE = "struct<w0:long, w1:long, w2:long, w3:long, w4:long, probes:binary>"
+WIDE = f"struct<{', '.join(f'w{k}:long' for k in range(WORDS))}, probes:binary>"
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
@@ -195,6 +196,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return join_unique(hashed, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def bit_limits(least: float) -> tuple[int, int, int]:
+    """(first, wide, sure) differing bits: at that similarity, sets of one size differ by more than
+    ``first`` of 64 bits once in 100,000 pairs, by more than ``wide`` of all once in 1,000, and by at
+    most ``sure`` of all once in 30,000."""
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    mean, spread = lambda n: n * share, lambda n: math.sqrt(n * share * (1 - share))
+    return math.ceil(mean(64) + 4.3 * spread(64)), math.ceil(mean(64 * WORDS) + 3.1 * spread(64 * WORDS)), math.floor(mean(64 * WORDS) - 4 * spread(64 * WORDS))
+
+
 def _probes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """(rows, segments, probes) keys: the own segment, then its ball over the uncertain bits."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS]
@@ -222,34 +232,47 @@ def _segment_entries(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", *[f"w{k}" for k in range(WORDS)], "probes").mapInArrow(enter, "node long, t int, cell long, own boolean, w0 long")
 
 
-def _near_links(dealt: DataFrame) -> DataFrame:
-    """(a, b): minimum spanning forests, by bits that differ, of what meets in each task's blocks."""
+def _near_links(dealt: DataFrame, wide: int, sure: int) -> DataFrame:
+    """(a, b), a < b, of what meets in each block and differs by at most ``wide`` bits.
+
+    Links that others of at most ``sure`` bits imply are left out; in blocks of more than
+    SMALL_RUN rows, only a minimum spanning forest by bits that differ stays.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_blocks(batches):
-            side, node, forest = table["side"].to_numpy(), table["node"].to_numpy(), Forest()
+            side, node, edges = table["side"].to_numpy(), table["node"].to_numpy(), set()
             words = [table[f"w{k}"].to_numpy().view(np.uint64) for k in range(WORDS)]
             a, b = small_pairs(starts, ends, side, node)
             distance = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
-            order = np.flatnonzero(distance <= WIDE_BITS)
-            order = order[distance[order].argsort(kind="stable")]
-            for x, y in zip(node[a[order]].tolist(), node[b[order]].tolist(), strict=True):
-                forest.add(x, y)
+            near = distance <= wide
+            a, b, distance = a[near], b[near], distance[near]
+            low, high, block = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.searchsorted(starts, a, side="right")
+            # Block by block, nearest first: what a link hides depends on its block alone.
+            order = np.lexsort((high, low, distance, block))
+            last = forest = None
+            for x, y, d, n in zip(low[order].tolist(), high[order].tolist(), distance[order].tolist(), block[order].tolist(), strict=True):
+                if n != last:
+                    last, forest = n, Forest()
+                if not forest.joins(x, y):
+                    edges.add((x, y))
+                    if d <= sure:
+                        forest.add(x, y)
             for n in np.flatnonzero(ends - starts > SMALL_RUN).tolist():
                 at = np.arange(starts[n], ends[n])
+                at = at[node[at].argsort(kind="stable")]
                 a, b = at[side[at] != PROBES], at[side[at] != STANDS]
                 if len(a) and len(b):
                     distance = sum(np.bitwise_count(w[a][:, None] ^ w[b]).astype(np.int16) for w in words)
-                    distance[node[a][:, None] == node[b]] = WIDE_BITS + 1
+                    distance[node[a][:, None] == node[b]] = wide + 1
                     # A tree by itself: what other blocks connect must not hide its nearest links.
-                    for x, y in nearest_forest(distance, WIDE_BITS):
-                        forest.edges.append((int(node[a[x]]), int(node[b[y]])))
-            if forest.edges:
-                x, y = zip(*set(forest.edges), strict=True)
+                    for x, y in nearest_forest(distance, wide):
+                        edges.add(tuple(sorted((int(node[a[x]]), int(node[b[y]])))))
+            if edges:
+                x, y = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    links = dealt.mapInArrow(verify, "a long, b long")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
 def _similar_enough(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -276,10 +299,13 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     names = [f"w{k}" for k in range(WORDS)]
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     hashed = materialize(known.select("doc_id", F.xxhash64("text").alias("h"), fingerprints("text").alias("f")).select("doc_id", "h", "f.*"), "wide")
-    distinct = hashed.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("probes").alias("probes"), F.count(F.lit(1)).alias("n"))
-    nodes = materialize(distinct.select(F.monotonically_increasing_id().alias("node"), *names, "probes", "n", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
-    close = materialize(resembling(deal(_segment_entries(nodes)), ["w0"], FIRST_BITS), "close")
-    links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names)))), "near")
+    distinct = hashed.groupBy(*names).agg(F.min(F.struct("doc_id", "h", "probes")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Numbered in an order that the words alone give, so that reruns number alike: nodes decide ties and parts of cells.
+    ordered = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names)
+    nodes = materialize(ordered.select(F.monotonically_increasing_id().alias("node"), *names, "first.probes", "n", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
+    first_bits, wide_bits, sure_bits = bit_limits(least)
+    close = materialize(resembling(deal(_segment_entries(nodes)), ["w0"], first_bits), "close")
+    links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names))), wide_bits, sure_bits), "near")
     # Shingle sets of one document for each node that has a link.
     linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(linked, "node", "left_semi").select("node", F.col("least_id").alias("doc_id"), "h"), "wanted")

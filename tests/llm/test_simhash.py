@@ -158,6 +158,38 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
     assert sum(got[i] == 240 for i in range(240, 390)) >= 148 and all(got[1000 + i] == got[i] for i in range(30))
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_reruns_compare_the_same_texts(spark, monkeypatch, block):
+    """The links to verify don't depend on the order of arrival, with ties and crowds."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
+    verify, seen = S._similar_enough, []
+
+    def recorded(links, sets, least):
+        seen.append(sorted(tuple(x) for x in links.collect()))
+        return verify(links, sets, least)
+
+    monkeypatch.setattr(S, "_similar_enough", recorded)
+    r, docs = random.Random(block), []
+    for n in (2, 5, 12, 60):
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        docs += [(len(docs) + k, " ".join(edited(r, base, 0.015))) for k in range(n)]
+    found = []
+    for parts in (1, 5):
+        r.shuffle(docs)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        found.append(sorted(tuple(x) for x in S.similar_texts(df).collect()))
+    assert seen[0] == seen[1] and seen[0] and found[0] == found[1]
+
+
+def test_links_of_small_blocks():
+    """Links of few bits hide what they imply; others hide nothing."""
+    first, wide, sure = S.bit_limits(0.8)
+    assert first < 32 and sure < wide < 32 * S.WORDS and S.bit_limits(0.9)[1] < wide
+    forest = blocks.Forest()
+    forest.add(1, 2)
+    assert forest.joins(1, 2) and not forest.joins(1, 3)
+
+
 def test_similar_texts_of_a_table(spark):
     """Recall of pairs over all of sf0.01."""
     df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
