@@ -132,28 +132,49 @@ class Forest:
             above[x] = x = above.setdefault(up, up)
         return x
 
-    def joins(self, a: int, b: int) -> bool:
-        return self._top(a) == self._top(b)
-
-    def add(self, a: int, b: int) -> None:
+    def add(self, a: int, b: int) -> bool:
+        """Whether the link connects what was apart."""
         x, y = self._top(a), self._top(b)
         if x != y:
             self.above[y] = x
             self.edges.append((a, b))
+        return x != y
+
 
+class NearestLinks:
+    """Minimum spanning forests of all links added, each of what those before it leave.
+
+    Links are ordered by distance, then by nodes, so the forests don't depend on the order
+    of arrival, nor on when links that can't be among them any more are dropped.
+    """
 
-def nearest_forest(distance: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """(row, column) links of a minimum spanning forest of the links of at most that distance (Prim's algorithm)."""
-    rows, columns = distance.shape
-    far = most + 1
-    linked = np.concatenate(((distance <= most).any(axis=1), (distance <= most).any(axis=0)))
-    best, via, open_ = np.full(rows + columns, far), np.zeros(rows + columns, np.int64), linked.copy()
-    for _ in range(int(linked.sum())):
-        v = int(np.where(open_, best, far + 1).argmin())
-        open_[v] = False
-        if best[v] <= most:
-            yield (v, int(via[v]) - rows) if v < rows else (int(via[v]), v - rows)
-        part, reach = (slice(rows, None), distance[v]) if v < rows else (slice(None, rows), distance[:, v - rows])
-        nearer = reach < best[part]
-        best[part] = np.where(nearer, reach, best[part])
-        via[part] = np.where(nearer, v, via[part])
+    #: Links held besides those of the forests.
+    HELD = 1 << 18
+
+    def __init__(self, forests: int):
+        self.forests, self.held, self.kept = forests, 0, 0
+        self.parts: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        if len(a):
+            self.parts.append(np.stack([np.minimum(a, b), np.maximum(a, b), distance.astype(np.int64)]))
+            self.held += len(a)
+            if self.held > self.HELD + 2 * self.kept:
+                self._reduce()
+
+    def _reduce(self) -> None:
+        low, high, distance = np.concatenate(self.parts, axis=1)
+        order = np.lexsort((high, low, distance))
+        links = np.stack([low[order], high[order], distance[order]])
+        links = links[:, np.concatenate(([True], (links[:, 1:] != links[:, :-1]).any(axis=0)))]
+        forests = [Forest() for _ in range(self.forests)]
+        keep = [any(f.add(a, b) for f in forests) for a, b in zip(links[0].tolist(), links[1].tolist(), strict=True)]
+        self.parts = [links[:, np.array(keep)]]
+        self.held = self.kept = sum(keep)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(smaller nodes, larger nodes)."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._reduce()
+        return self.parts[0][0], self.parts[0][1]

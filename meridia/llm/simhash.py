@@ -16,16 +16,16 @@ Only distinct fingerprints take part, so exact copies cost one row. Components c
 the links by alternating stars; a component's id is the least id of its documents.
 
 Edited copies at a shingle similarity of 0.8 are far apart for 64 bits, so a second search,
-``similar_texts``, uses 320 bits over the set of five-word shingles: twelve segments of 26
+``similar_texts``, uses 512 bits over the set of five-word shingles: 19 segments of 26
 bits, each probed by the ball of radius two over its four least certain bits (those whose
 majority is narrowest), as these are the ones that edits flip. What meets in a segment is
-compared in blocks of bounded size, first by 64 bits, then by all; each block returns the
-links found, but for those that far nearer links of the same block imply, and their Jaccard
-similarities are computed from the whole shingle sets. Most pairs at just that similarity are
-found, and nearly all of those above 0.9 (measured recall in the README and tests). A block of
-more than 16 rows returns a minimum spanning forest alone, by bits that differ: were one of its
-links below the least similarity, a pair that it stands for would be lost. What is found
-depends on the texts and the number of shuffle partitions only, not on the order of arrival.
+compared in blocks of bounded size, first by 64 bits, then by all. All pairs of a crowd of
+copies would be too many to verify, so each task returns a minimum spanning forest of its
+links, by bits that differ, and their Jaccard similarities are computed from the whole shingle
+sets. Most pairs at just the least similarity are found, and nearly all of those above 0.9
+(measured recall in the README and tests); a pair is lost where nearer links stand for it in
+every task that finds it and one of those lies below the least similarity. What is found depends
+on the texts and the number of shuffle partitions only, not on the order of arrival.
 
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero and
 links like any other; fewer words than a shingle give one shingle of them all; null ids
@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PROBES, SMALL_RUN, STANDS, Forest, deal, nearest_forest, resembling, small_pairs, whole_blocks, with_columns
+from .blocks import PROBES, SMALL_RUN, STANDS, NearestLinks, deal, resembling, small_pairs, whole_blocks, with_columns
 from .common import bounded_batches, join_unique, materialize, text_or_empty
 from .components import connected_components, with_component_id
 
@@ -56,7 +56,10 @@ LARGE_BUCKET = 64
 #: Ids of dropped documents up to which they are broadcast (some 16 bytes each).
 BROADCAST_IDS = 1_000_000
 #: The wide fingerprint: words of 64 bits, segments and their bits, the uncertain bits of each and the radius of their ball.
-WORDS, SEGMENTS, SEGMENT_BITS, UNCERTAIN, RADIUS = 5, 12, 26, 4, 2
+WORDS, SEGMENTS, SEGMENT_BITS, UNCERTAIN, RADIUS = 8, 19, 26, 4, 2
+#: Of the links a task finds, this many spanning forests are verified. With a second one, a link that
+#: fails has another in its place, and crowds of near copies have 1.6 times the links to verify.
+FORESTS = 1
 WIDE = f"struct<{', '.join(f'w{k}:long' for k in range(WORDS))}, probes:binary>"
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
@@ -196,13 +199,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return join_unique(hashed, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bit_limits(least: float) -> tuple[int, int, int]:
-    """(first, wide, sure) differing bits: at that similarity, sets of one size differ by more than
-    ``first`` of 64 bits once in 100,000 pairs, by more than ``wide`` of all once in 1,000, and by at
-    most ``sure`` of all once in 30,000."""
+def bit_limits(least: float) -> tuple[int, int]:
+    """(first, wide) differing bits: at that similarity, sets of one size differ by more than
+    ``first`` of 64 bits once in 100,000 pairs, by more than ``wide`` of all once in 150."""
     share = math.acos(2 * least / (1 + least)) / math.pi
-    mean, spread = lambda n: n * share, lambda n: math.sqrt(n * share * (1 - share))
-    return math.ceil(mean(64) + 4.3 * spread(64)), math.ceil(mean(64 * WORDS) + 3.1 * spread(64 * WORDS)), math.floor(mean(64 * WORDS) - 4 * spread(64 * WORDS))
+    most = lambda n, deviations: math.ceil(n * share + deviations * math.sqrt(n * share * (1 - share)))
+    return most(64, 4.3), most(64 * WORDS, 2.5)
 
 
 def _probes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -232,45 +234,28 @@ def _segment_entries(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", *[f"w{k}" for k in range(WORDS)], "probes").mapInArrow(enter, "node long, t int, cell long, own boolean, w0 long")
 
 
-def _near_links(dealt: DataFrame, wide: int, sure: int) -> DataFrame:
-    """(a, b), a < b, of what meets in each block and differs by at most ``wide`` bits.
-
-    Links that others of at most ``sure`` bits imply are left out; in blocks of more than
-    SMALL_RUN rows, only a minimum spanning forest by bits that differ stays.
-    """
+def _near_links(dealt: DataFrame, wide: int, forests: int) -> DataFrame:
+    """(a, b), a < b: of the links of at most ``wide`` bits in each partition's blocks, that many spanning forests."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = NearestLinks(forests)
         for table, starts, ends in whole_blocks(batches):
-            side, node, edges = table["side"].to_numpy(), table["node"].to_numpy(), set()
+            side, node = table["side"].to_numpy(), table["node"].to_numpy()
             words = [table[f"w{k}"].to_numpy().view(np.uint64) for k in range(WORDS)]
             a, b = small_pairs(starts, ends, side, node)
             distance = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
             near = distance <= wide
-            a, b, distance = a[near], b[near], distance[near]
-            low, high, block = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.searchsorted(starts, a, side="right")
-            # Block by block, nearest first: what a link hides depends on its block alone.
-            order = np.lexsort((high, low, distance, block))
-            last = forest = None
-            for x, y, d, n in zip(low[order].tolist(), high[order].tolist(), distance[order].tolist(), block[order].tolist(), strict=True):
-                if n != last:
-                    last, forest = n, Forest()
-                if not forest.joins(x, y):
-                    edges.add((x, y))
-                    if d <= sure:
-                        forest.add(x, y)
+            found.add(node[a[near]], node[b[near]], distance[near])
             for n in np.flatnonzero(ends - starts > SMALL_RUN).tolist():
                 at = np.arange(starts[n], ends[n])
-                at = at[node[at].argsort(kind="stable")]
                 a, b = at[side[at] != PROBES], at[side[at] != STANDS]
                 if len(a) and len(b):
                     distance = sum(np.bitwise_count(w[a][:, None] ^ w[b]).astype(np.int16) for w in words)
-                    distance[node[a][:, None] == node[b]] = wide + 1
-                    # A tree by itself: what other blocks connect must not hide its nearest links.
-                    for x, y in nearest_forest(distance, wide):
-                        edges.add(tuple(sorted((int(node[a[x]]), int(node[b[y]])))))
-            if edges:
-                x, y = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                    x, y = np.nonzero((distance <= wide) & (node[a][:, None] != node[b]))
+                    found.add(node[a[x]], node[b[y]], distance[x, y])
+        low, high = found.links()
+        if len(low):
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
@@ -303,9 +288,9 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # Numbered in an order that the words alone give, so that reruns number alike: nodes decide ties and parts of cells.
     ordered = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names)
     nodes = materialize(ordered.select(F.monotonically_increasing_id().alias("node"), *names, "first.probes", "n", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
-    first_bits, wide_bits, sure_bits = bit_limits(least)
+    first_bits, wide_bits = bit_limits(least)
     close = materialize(resembling(deal(_segment_entries(nodes)), ["w0"], first_bits), "close")
-    links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names))), wide_bits, sure_bits), "near")
+    links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names))), wide_bits, FORESTS), "near")
     # Shingle sets of one document for each node that has a link.
     linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(linked, "node", "left_semi").select("node", F.col("least_id").alias("doc_id"), "h"), "wanted")

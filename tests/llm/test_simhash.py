@@ -181,15 +181,6 @@ def test_reruns_compare_the_same_texts(spark, monkeypatch, block):
     assert seen[0] == seen[1] and seen[0] and found[0] == found[1]
 
 
-def test_links_of_small_blocks():
-    """Links of few bits hide what they imply; others hide nothing."""
-    first, wide, sure = S.bit_limits(0.8)
-    assert first < 32 and sure < wide < 32 * S.WORDS and S.bit_limits(0.9)[1] < wide
-    forest = blocks.Forest()
-    forest.add(1, 2)
-    assert forest.joins(1, 2) and not forest.joins(1, 3)
-
-
 def test_similar_texts_of_a_table(spark):
     """Recall of pairs over all of sf0.01."""
     df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
@@ -204,23 +195,32 @@ def test_similar_texts_of_a_table(spark):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
-def test_nearest_forest():
+def test_nearest_links(monkeypatch):
+    """Spanning forests, whatever the order and the links held; against plain Kruskal."""
     import numpy as np
 
-    r = np.random.default_rng(0)
-    for _ in range(30):
-        d = r.integers(0, 100, size=(r.integers(1, 9), r.integers(1, 9)))
-        most = int(r.integers(0, 60))
-        got = list(blocks.nearest_forest(d, most))
-        nodes = {*range(d.shape[0]), *range(100, 100 + d.shape[1])}
-        tree, weight = set(), 0
-        parts = least_reachable(nodes, [])
-        for x, y in sorted(np.argwhere(d <= most).tolist(), key=lambda p: d[p[0], p[1]]):
-            if parts[x] != parts[100 + y]:
-                tree.add((x, y))
-                weight += d[x, y]
-                parts = least_reachable(nodes, [(a, 100 + b) for a, b in tree])
-        assert least_reachable(nodes, [(a, 100 + b) for a, b in got]) == parts and sum(d[x, y] for x, y in got) == weight
+    r = random.Random(4)
+    for held, forests in ((3, 1), (1 << 18, 1), (3, 2), (1 << 18, 2)):
+        monkeypatch.setattr(blocks.NearestLinks, "HELD", held)
+        for _ in range(15):
+            n = r.randint(2, 12)
+            links = {(a, b): r.randint(0, 9) for a in range(n) for b in range(a + 1, n) if r.random() < 0.6}
+            expected, left = set(), sorted((d, a, b) for (a, b), d in links.items())
+            for _ in range(forests):
+                part, over = {x: x for x in range(n)}, []
+                for d, a, b in left:
+                    if part[a] == part[b]:
+                        over.append((d, a, b))
+                        continue
+                    expected.add((a, b))
+                    part = {x: part[a] if p == part[b] else p for x, p in part.items()}
+                left = over
+            found, arrivals = blocks.NearestLinks(forests), [(*r.sample(k, 2), d) for k, d in links.items() for _ in range(2)]
+            r.shuffle(arrivals)
+            for at in range(0, len(arrivals), 5):
+                a, b, d = np.array(arrivals[at : at + 5], np.int64).T
+                found.add(a, b, d)
+            assert set(zip(*(x.tolist() for x in found.links()), strict=True)) == expected
 
 
 def test_an_id_with_two_texts(spark):
