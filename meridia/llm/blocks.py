@@ -28,8 +28,12 @@ BY_BLOCK = ["t", "cell", "i", "j"]
 STANDS_AND_PROBES, STANDS, PROBES = 0, 1, 2
 
 
-def deal(entries: DataFrame) -> DataFrame:
-    """Entries dealt to blocks (t, cell, i, j) of bounded size, with the side they take there."""
+def deal(entries: DataFrame, grid: bool = True) -> DataFrame:
+    """Entries dealt to blocks (t, cell, i, j) of bounded size, with the side they take there.
+
+    Without the grid, every entry goes to one block: that of its part (i) of a large cell, where
+    j > 0 tells that not all pairs meet. All entries have to be standing ones then.
+    """
     parts = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK_ROWS))).cast("int")
     sizes = entries.groupBy("t", "cell").agg(F.sum(F.col("own").cast("int")).alias("n_own"), F.count(F.lit(1)).alias("n_all"))
     large = materialize(sizes.filter((F.col("n_all") > BLOCK_ROWS) & (F.col("n_own") > 0)).select("t", "cell", parts("n_own").alias("is"), parts("n_all").alias("js")), "large")
@@ -47,9 +51,14 @@ def deal(entries: DataFrame) -> DataFrame:
     salt = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
     last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cut = joined.filter("is is not null")
+    parts_ = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not grid:
+        # Dealt anew in each cell, so that the cells together connect the parts of each.
+        part = F.pmod(F.xxhash64("node", "t", "cell"), F.col("is")).cast("int")
+        once = whole.unionByName(cut.select("t", "cell", part.alias("i"), F.lit(1).alias("j"), F.lit(STANDS_AND_PROBES).alias("side"), *kept))
+        return once.repartition(parts_, *BY_BLOCK).sortWithinPartitions(*BY_BLOCK)
     standing = cut.filter("own").select("t", "cell", salt("is").alias("i"), F.explode(last("js")).alias("j"), F.lit(STANDS).alias("side"), *kept)
     probing = cut.select("t", "cell", F.explode(last("is")).alias("i"), salt("js").alias("j"), F.lit(PROBES).alias("side"), *kept)
-    parts_ = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return whole.unionByName(standing).unionByName(probing).repartition(parts_, *BY_BLOCK).sortWithinPartitions(*BY_BLOCK)
 
 
@@ -132,6 +141,9 @@ class Forest:
             above[x] = x = above.setdefault(up, up)
         return x
 
+    def joins(self, a: int, b: int) -> bool:
+        return self._top(a) == self._top(b)
+
     def add(self, a: int, b: int) -> bool:
         """Whether the link connects what was apart."""
         x, y = self._top(a), self._top(b)

@@ -16,16 +16,20 @@ Only distinct fingerprints take part, so exact copies cost one row. Components c
 the links by alternating stars; a component's id is the least id of its documents.
 
 Edited copies at a shingle similarity of 0.8 are far apart for 64 bits, so a second search,
-``similar_texts``, uses 512 bits over the set of five-word shingles: 19 segments of 26
-bits, each probed by the ball of radius two over its four least certain bits (those whose
-majority is narrowest), as these are the ones that edits flip. What meets in a segment is
-compared in blocks of bounded size, first by 64 bits, then by all. All pairs of a crowd of
-copies would be too many to verify, so each task returns a minimum spanning forest of its
-links, by bits that differ, and their Jaccard similarities are computed from the whole shingle
-sets. Most pairs at just the least similarity are found, and nearly all of those above 0.9
-(measured recall in the README and tests); a pair is lost where nearer links stand for it in
-every task that finds it and one of those lies below the least similarity. What is found depends
-on the texts and the number of shuffle partitions only, not on the order of arrival.
+``similar_texts``, joins the sets of five-word shingles by prefix filtering: with all sets in one
+order of shingles, two of Jaccard similarity t share one among the first n - ceil(t n) + 1 of each
+(n: the set's size), and what follows their first common one bounds what they share. So every
+pair meets in the cell of a shingle, whatever the order; the order, frequent ones of a sample last,
+only keeps cells small. What meets is held against 512 bits of both sets, with a limit beyond which
+less than one in 10^8 pairs at the least similarity lies.
+
+A crowd of copies has too many pairs to verify, so a task verifies a minimum spanning forest of
+its links first, by bits that differ, and large cells are dealt to parts that meet within
+themselves. Texts that links of at least the least similarity connect are one group then, and
+only pairs of two groups are left: those of links that failed or were not verified, and those of
+large cells that hold several groups. All groups that such pairs connect meet in blocks, where their
+texts are compared set by set. No pair is left out but between texts that verified links connect.
+The groups depend on the texts alone.
 
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero and
 links like any other; fewer words than a shingle give one shingle of them all; null ids
@@ -38,7 +42,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PROBES, SMALL_RUN, STANDS, NearestLinks, deal, resembling, small_pairs, whole_blocks, with_columns
+from .blocks import PROBES, SMALL_RUN, STANDS, Forest, NearestLinks, deal, small_pairs, whole_blocks, with_columns
 from .common import bounded_batches, join_unique, materialize, text_or_empty
 from .components import connected_components, with_component_id
 
@@ -55,12 +58,16 @@ SEED = 42
 LARGE_BUCKET = 64
 #: Ids of dropped documents up to which they are broadcast (some 16 bytes each).
 BROADCAST_IDS = 1_000_000
-#: The wide fingerprint: words of 64 bits, segments and their bits, the uncertain bits of each and the radius of their ball.
-WORDS, SEGMENTS, SEGMENT_BITS, UNCERTAIN, RADIUS = 8, 19, 26, 4, 2
-#: Of the links a task finds, this many spanning forests are verified. With a second one, a link that
-#: fails has another in its place, and crowds of near copies have 1.6 times the links to verify.
+#: The wide fingerprint's words of 64 bits.
+WORDS = 8
+#: Of the links a task finds, this many spanning forests are verified at first.
 FORESTS = 1
-WIDE = f"struct<{', '.join(f'w{k}:long' for k in range(WORDS))}, probes:binary>"
+#: Documents whose shingles are counted for the order of shingles, and frequent ones that it knows at most.
+#: They decide how large cells get, not which pairs are found.
+SAMPLE_DOCS, FREQUENT_SHINGLES = 10_000, 200_000
+#: Room for rounding in bounds; what passes is compared exactly.
+SLACK = 1e-6
+SET = f"struct<d0:long, d1:long, size:int, {', '.join(f'w{k}:long' for k in range(WORDS))}, prefix:array<long>>"
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
@@ -95,18 +102,29 @@ def simhash64(text: str, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * _ones(h[:, None]) > len(h), bitorder="little").tobytes(), "little")
 
 
-def wide_fingerprint(text: str, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(words, for each segment the places of its least certain bits) of the set of shingles."""
-    h = np.unique(shingle_hashes(text, shingle))
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Majority bits of a set of hashes, in words."""
     # Each word's hash is a mix of the shingle's (the finalizer of SplitMix64).
     with np.errstate(over="ignore"):
         x = h[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-    margin = 2 * _ones(x) - len(h)
-    narrow = np.abs(margin[: SEGMENTS * SEGMENT_BITS]).reshape(SEGMENTS, SEGMENT_BITS).argsort(axis=1, kind="stable")
-    return np.packbits(margin > 0, bitorder="little").view(np.uint64), narrow[:, :UNCERTAIN].astype(np.uint8)
+    return np.packbits(2 * _ones(x) > len(h), bitorder="little").view(np.uint64)
+
+
+def prefix(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set of hashes, in an order that all sets share; a set that is as similar has one of them among its own.
+
+    ``frequent``, in order, come last, by their counts.
+    """
+    if not len(h):
+        return h
+    count = np.zeros(len(h), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        count = np.where(frequent[at] == h, counts[at], 0)
+    return h[np.lexsort((h, count))[: len(h) - math.ceil(least * len(h) - SLACK) + 1]]
 
 
 def simhash_column(text: Column, shingle: int = 3) -> Column:
@@ -199,48 +217,69 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return join_unique(hashed, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bit_limits(least: float) -> tuple[int, int]:
-    """(first, wide) differing bits: at that similarity, sets of one size differ by more than
-    ``first`` of 64 bits once in 100,000 pairs, by more than ``wide`` of all once in 150."""
-    share = math.acos(2 * least / (1 + least)) / math.pi
-    most = lambda n, deviations: math.ceil(n * share + deviations * math.sqrt(n * share * (1 - share)))
-    return most(64, 4.3), most(64 * WORDS, 2.5)
+def bit_limit(least: float) -> int:
+    """Bits of the wide fingerprint by which sets of at least that similarity differ at most: six deviations
+    from the mean of a pair at just that similarity, or of the smallest sets, whose ties differ more often."""
+    n = math.ceil(least / (1 - least) - SLACK) if least < 1 else 0
+    ties = math.comb(n, (n + 1) // 2) / 2 ** (n + 1) if 0 < n < 1000 else 0
+    share = max(math.acos(2 * least / (1 + least)) / math.pi, ties)
+    return math.ceil(64 * WORDS * share + 6 * math.sqrt(64 * WORDS * share * (1 - share)))
 
 
-def _probes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """(rows, segments, probes) keys: the own segment, then its ball over the uncertain bits."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS]
-    own = bits.reshape(-1, SEGMENTS, SEGMENT_BITS).astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
-    flips = np.int64(1) << places.astype(np.int64)
-    masks = [np.zeros_like(own)] + [flips[..., list(c)].sum(axis=-1) for r in range(1, RADIUS + 1) for c in combinations(range(UNCERTAIN), r)]
-    return own[:, :, None] ^ np.stack(masks, axis=2)
+def _frequent_shingles(known: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that more than one text of a sample has."""
+
+    @F.arrow_udf("array<long>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
+    every = -(-known.count() // SAMPLE_DOCS) or 1
+    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", F.xxhash64("text").alias("h"))
+    counts = sample.dropDuplicates(["h"]).select(F.explode(shingles("text")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = counts.orderBy(F.col("n").desc(), "s").limit(FREQUENT_SHINGLES).toArrow()
+    found = top["s"].to_numpy().view(np.uint64)
+    order = found.argsort()
+    return found[order], top["n"].to_numpy()[order]
 
-def _segment_entries(nodes: DataFrame) -> DataFrame:
-    """node, t, cell, own, w0: each fingerprint under its segments, and where it probes."""
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                words = np.column_stack([part.column(f"w{k}").to_numpy() for k in range(WORDS)])
-                places = np.frombuffer(b"".join(part.column("probes").to_pylist()), np.uint8).reshape(len(part), SEGMENTS, UNCERTAIN)
-                keys = _probes(words, places)
-                n, tables, probes = keys.shape
-                wide = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), tables * probes))  # noqa: B023, E731
-                t = pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n))
-                yield pa.RecordBatch.from_arrays([wide("node"), t, pa.array(keys.reshape(-1)), pa.array(np.tile(np.arange(probes) == 0, n * tables)), wide("w0")], names=["node", "t", "cell", "own", "w0"])
+def _alike(dealt: DataFrame, least: float) -> DataFrame:
+    """(node, at): for each node its entries (t, cell, own) that meet a set which their sizes and places
+    let be as similar. Cells that were cut keep all their entries and aren't ``own``."""
+    share = least / (1 + least)
 
-    return nodes.select("node", *[f"w{k}" for k in range(WORDS)], "probes").mapInArrow(enter, "node long, t int, cell long, own boolean, w0 long")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_blocks(batches):
+            node, cut = table["node"].to_numpy(), table["j"].to_numpy() > 0
+            size, left = table["size"].to_numpy(), table["left"].to_numpy()
+            close = cut.copy()
+            a, b = small_pairs(starts, ends, table["side"].to_numpy(), node)
+            # They share no more than what the shorter rest from here holds.
+            fit = np.minimum(left[a], left[b]) >= share * (size[a] + size[b]) - SLACK
+            close[a[fit]] = close[b[fit]] = True
+            for n in np.flatnonzero((ends - starts > SMALL_RUN) & ~cut[starts]).tolist():
+                at = slice(starts[n], ends[n])
+                fit = np.minimum(left[at][:, None], left[at]) >= share * (size[at][:, None] + size[at]) - SLACK
+                np.fill_diagonal(fit, False)
+                close[at] = fit.any(axis=1)
+            if close.any():
+                kept = table.select(["node", "t", "cell"]).append_column("own", pa.array(~cut))
+                yield from kept.filter(pa.array(close)).to_batches()
+
+    kept = dealt.mapInArrow(keep, "node long, t int, cell long, own boolean")
+    return kept.groupBy("node").agg(F.collect_set(F.struct("t", "cell", "own")).alias("at"))
 
 
 def _near_links(dealt: DataFrame, wide: int, forests: int) -> DataFrame:
-    """(a, b), a < b: of the links of at most ``wide`` bits in each partition's blocks, that many spanning forests."""
+    """(a, b), a < b: of the links of at most ``wide`` bits in each partition's blocks, that many spanning forests.
+
+    Where nodes come with a ``group``, the links are those of groups.
+    """
+    name = "group" if "group" in dealt.columns else "node"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = NearestLinks(forests)
         for table, starts, ends in whole_blocks(batches):
-            side, node = table["side"].to_numpy(), table["node"].to_numpy()
+            side, node = table["side"].to_numpy(), table[name].to_numpy()
             words = [table[f"w{k}"].to_numpy().view(np.uint64) for k in range(WORDS)]
             a, b = small_pairs(starts, ends, side, node)
             distance = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
@@ -267,40 +306,113 @@ def _similar_enough(links: DataFrame, sets: DataFrame, least: float) -> DataFram
     return links.join(left, "a").join(right, "b").filter(both >= least * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
+def _with_main(members: DataFrame, of: list[str]) -> DataFrame:
+    """members (of, node, group) as entries: those of the largest group of each cell don't stand in it. Cells of one group go."""
+    groups = members.groupBy(*of, "group").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy(*of).agg(F.max(F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    return members.join(main, of).withColumn("own", F.col("group") != F.col("main.group")).drop("main", "groups")
+
+
+def _linked_groups(dealt: DataFrame, wide: int, least: float) -> DataFrame:
+    """(a, b): links of groups that are as similar in some pair of their sets; in each partition, a spanning forest of them."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for table, starts, ends in whole_blocks(batches):
+            side, group, sets = table["side"].to_numpy(), table["group"].to_numpy(), table["shingles"].combine_chunks()
+            size = sets.value_lengths().to_numpy()
+            words = [table[f"w{k}"].to_numpy().view(np.uint64) for k in range(WORDS)]
+            for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                at = np.arange(start, end)
+                a, b = at[side[at] != PROBES], at[side[at] != STANDS]
+                distance = sum(np.bitwise_count(w[a][:, None] ^ w[b]).astype(np.int16) for w in words)
+                fit = np.minimum(size[a][:, None], size[b]) >= least * np.maximum(size[a][:, None], size[b]) - SLACK
+                x, y = np.nonzero((distance <= wide) & fit & (group[a][:, None] != group[b]))
+                # Nearest first: groups that are linked already need no more links.
+                order = distance[x, y].argsort(kind="stable")
+                for m, n in zip(a[x[order]].tolist(), b[y[order]].tolist(), strict=True):
+                    low, high = sorted((int(group[m]), int(group[n])))
+                    if not forest.joins(low, high):
+                        both = len(np.intersect1d(sets[m].values.to_numpy(), sets[n].values.to_numpy(), assume_unique=True))
+                        if both >= least * (int(size[m]) + int(size[n]) - both):
+                            forest.add(low, high)
+        if forest.edges:
+            low, high = zip(*forest.edges, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(verify, "a long, b long").distinct()
+
+
+def _links_between(nodes: DataFrame, links: DataFrame, verified: DataFrame, cut: DataFrame, sets: DataFrame, wide: int, least: float) -> DataFrame | None:
+    """Links of groups that the verified ones don't connect; None if there are none to look for.
+
+    ``links``: those verified or failed; ``cut``: t, cell and node of cells that didn't meet as a whole.
+    """
+    names = [f"w{k}" for k in range(WORDS)]
+    groups = materialize(connected_components(verified).withColumnRenamed("component", "group"), "groups")
+    group_of = lambda df, c, g: df.join(groups.select(F.col("node").alias(c), F.col("group").alias("_g")), c, "left").withColumn(g, F.coalesce("_g", c)).drop("_g")
+    open_ = group_of(group_of(links, "a", "ga"), "b", "gb").filter("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    if not cut.isEmpty():
+        entries = materialize(_with_main(group_of(cut, "node", "group"), ["t", "cell"]), "cut")
+        crossing = _near_links(deal(entries.join(nodes.select("node", *names), "node")), wide, FORESTS)
+        open_ = open_.unionByName(crossing)
+    open_ = materialize(open_.distinct(), "open")
+    if open_.isEmpty():
+        return None
+    # All groups that open links connect meet, each set once with the few that stand.
+    met = connected_components(open_).select(F.col("node").alias("group"), F.col("component").alias("cell"))
+    members = group_of(sets.select("node"), "node", "group").join(met, "group")
+    entries = materialize(_with_main(members.withColumn("t", F.lit(0)), ["t", "cell"]), "meeting")
+    whole = entries.join(nodes.select("node", *names), "node").join(sets, "node")
+    return materialize(_linked_groups(deal(whole), wide, least), "between")
+
+
 def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, component_id of all documents with ids: groups that links of at least that similarity connect."""
     bounded_batches(docs.sparkSession)
+    names, digest = [f"w{k}" for k in range(WORDS)], ["d0", "d1"]
+    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    frequent, counts = _frequent_shingles(known, shingle)
 
-    @F.arrow_udf(WIDE)
-    def fingerprints(texts: pa.Array) -> pa.Array:
-        found = [wide_fingerprint(t.as_py(), shingle) for t in texts]
-        words = np.array([w for w, _ in found], np.uint64).reshape(-1, WORDS).view(np.int64)
-        return pa.StructArray.from_arrays([*[pa.array(words[:, k]) for k in range(WORDS)], pa.array([p.tobytes() for _, p in found], pa.binary())], names=[*[f"w{k}" for k in range(WORDS)], "probes"])
+    @F.arrow_udf(SET)
+    def described(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in texts]
+        digests = np.frombuffer(b"".join(xxhash.xxh128_digest(h.tobytes(), SEED) for h in sets), np.int64).reshape(-1, 2)
+        words = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+        prefixes = pa.array([prefix(h, frequent, counts, least).view(np.int64) for h in sets], pa.list_(pa.int64()))
+        columns = [*[pa.array(digests[:, k]) for k in range(2)], pa.array([len(h) for h in sets], pa.int32()), *[pa.array(words[:, k]) for k in range(WORDS)], prefixes]
+        return pa.StructArray.from_arrays(columns, names=[*digest, "size", *names, "prefix"])
 
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
         return pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
-    names = [f"w{k}" for k in range(WORDS)]
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    hashed = materialize(known.select("doc_id", F.xxhash64("text").alias("h"), fingerprints("text").alias("f")).select("doc_id", "h", "f.*"), "wide")
-    distinct = hashed.groupBy(*names).agg(F.min(F.struct("doc_id", "h", "probes")).alias("first"), F.count(F.lit(1)).alias("n"))
-    # Numbered in an order that the words alone give, so that reruns number alike: nodes decide ties and parts of cells.
-    ordered = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names)
-    nodes = materialize(ordered.select(F.monotonically_increasing_id().alias("node"), *names, "first.probes", "n", F.col("first.doc_id").alias("least_id"), F.col("first.h").alias("h")), "nodes")
-    first_bits, wide_bits = bit_limits(least)
-    close = materialize(resembling(deal(_segment_entries(nodes)), ["w0"], first_bits), "close")
-    links = materialize(_near_links(deal(with_columns(close, nodes.select("node", *names))), wide_bits, FORESTS), "near")
-    # Shingle sets of one document for each node that has a link.
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    hashed = materialize(known.select("doc_id", F.xxhash64("text").alias("h"), described("text").alias("f")).select("doc_id", "h", "f.*"), "wide")
+    distinct = hashed.groupBy(*digest).agg(F.min(F.struct("doc_id", "h", "size", *names, "prefix")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Numbered in an order that the sets alone give, so that reruns number alike: nodes decide ties and parts of cells.
+    ordered = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *digest).sortWithinPartitions(*digest)
+    nodes = materialize(
+        ordered.select(F.monotonically_increasing_id().alias("node"), *digest, "n", F.col("first.doc_id").alias("least_id"), *[f"first.{c}" for c in ("h", "size", *names, "prefix")]), "nodes"
+    )
+    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "cell")).select("node", F.lit(0).alias("t"), "cell", F.lit(True).alias("own"), "size", (F.col("size") - F.col("place")).alias("left"))
+    close = materialize(_alike(deal(entries, grid=False), least), "close")
+    wide = bit_limit(least)
+    # What follows takes all entries as standing; those of cut cells are known by ``whole``.
+    met = with_columns(close, nodes.select("node", *names)).withColumnRenamed("own", "whole").withColumn("own", F.lit(True))
+    links = materialize(_near_links(deal(met.drop("whole"), grid=False), wide, FORESTS), "near")
+    cut = materialize(close.select("node", F.explode("at").alias("e")).filter("not e.own").select("e.t", "e.cell", "node"), "cut-cells")
+    # Shingle sets of one document for each node that has a link or is in a cell that was cut.
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).unionByName(cut.select("node")).distinct()
     wanted = materialize(nodes.join(linked, "node", "left_semi").select("node", F.col("least_id").alias("doc_id"), "h"), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     first = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "h"])
     sets = materialize(first.select("node", shingles("text").alias("shingles")).dropDuplicates(["node"]), "sets")
-    components = connected_components(_similar_enough(links, sets, least))
-    labelled = nodes.join(components, "node", "left").select(*names, "n", "least_id", F.coalesce("component", "node").alias("component"))
-    named = with_component_id(labelled).select(*names, "n", "component_id")
-    return join_unique(hashed, named, names).select("doc_id", "component_id")
+    verified = materialize(_similar_enough(links, sets, least), "verified")
+    between = _links_between(nodes, links, verified, cut, sets, wide, least)
+    components = connected_components(verified if between is None else verified.unionByName(between))
+    labelled = nodes.join(components, "node", "left").select(*digest, "n", "least_id", F.coalesce("component", "node").alias("component"))
+    named = with_component_id(labelled).select(*digest, "n", "component_id")
+    return join_unique(hashed.select("doc_id", *digest), named, digest).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:

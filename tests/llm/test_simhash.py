@@ -223,6 +223,43 @@ def test_nearest_links(monkeypatch):
             assert set(zip(*(x.tolist() for x in found.links()), strict=True)) == expected
 
 
+@pytest.mark.parametrize("block, sample", [(8, 10_000), (8, 1), (256, 10_000)])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, block, sample):
+    """Tiny texts at just the least similarity, and crowds in which nearer links fail; whatever the blocks and the order of shingles."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
+    monkeypatch.setattr(S, "SAMPLE_DOCS", sample)
+    r, texts = random.Random(7), []
+    for _ in range(80):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([8, 8, 10, 12, 14]))]
+        texts += [base, [*base, "more"]]
+    for n in (5, 12, 60, 150):
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        texts += [edited(r, base, 0.015) for _ in range(n)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in S.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_similar(docs)
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    """Also where sizes times the similarity are whole numbers, in every order of shingles."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for least in (0.5, 0.7, 0.8, 0.9):
+        for _ in range(300):
+            union = r.choice(10**6, int(r.integers(1, 60)), replace=False).astype(np.uint64)
+            both = int(np.ceil(least * len(union) - 1e-9))
+            cut = int(r.integers(both, len(union) + 1))
+            a, b = np.sort(union[:cut]), np.sort(np.concatenate([union[:both], union[cut:]]))
+            frequent = np.sort(r.choice(union, len(union) // 2, replace=False))
+            counts = r.integers(2, 5, len(frequent))
+            first = [S.prefix(x, frequent, counts, least).tolist() for x in (a, b)]
+            shared = [x for x in first[0] if x in first[1]]
+            assert shared
+            left = min(len(a) - first[0].index(shared[0]), len(b) - first[1].index(shared[0]))
+            assert left >= both
+
+
 def test_an_id_with_two_texts(spark):
     docs = spark.createDataFrame([(1, "one two three"), (5, "one two three"), (5, "something else here")], "doc_id long, text string")
     # Id 5 still names the second text's group, so its rows stay.
