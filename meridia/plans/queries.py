@@ -348,16 +348,15 @@ def _column_set_query(shape: str, layout: str):
 
     sql = f"SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS pos, {n} AS n_coords, '{_SHAPES[shape]}' AS geometry_type, {'Z' in layout} AS has_z, {'M' in layout} AS has_m, 4326 AS wkid, CAST(NULL AS BIGINT) AS geometry_wkid, 0 AS n_attributes FROM embeddings"
     def column_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """A geometry column alone as a set of each label."""
-        sets = encode.column_feature_set_json(_shaped(spark, sf_dir, shape, layout), "shape", shape, layout, sr={"wkid": 4326}, order_by="vec_id", by=["label"])
-        doc = F.parse_json("featureset")
-        rows = decode.generic_features(decode.explode_features(sets, "featureset", keep=("label", "featureset")), dim=len(layout))
+        """A geometry column alone as a set of each label, written and read in pages."""
+        pages = encode.column_feature_set_pages(_shaped(spark, sf_dir, shape, layout), "shape", shape, "vec_id", layout, sr={"wkid": 4326}, by=["label"])
+        doc = F.col("doc")
+        # A set's own members are read once a page: the features go on without its text.
+        own = {"geometry_type": checked.as_str(checked.member(doc, "geometryType")), "has_z": checked.as_bool(checked.member(doc, "hasZ")), "has_m": checked.as_bool(checked.member(doc, "hasM")), "wkid": G.spatial_reference(checked.member(doc, "spatialReference"))["wkid"].cast("int")}
+        rows = decode.generic_features(decode.explode_features(decode.parse(pages, "featureset").withColumns(own), "featureset", keep=("label", "start", *own)), dim=len(layout))
         g = F.col("geometry")
         n_coords = {"point": F.when(g["x"].isNotNull() & g["y"].isNotNull(), 1), "multipoint": F.size(g["points"]), "polyline": F.size(F.flatten(g["paths"])), "polygon": F.size(F.flatten(g["rings"]))}[G.SHAPES[shape]]
-        return rows.select(
-            "label", F.col("feature_index").alias("pos"), n_coords.alias("n_coords"), checked.as_str(checked.member(doc, "geometryType")).alias("geometry_type"), checked.as_bool(checked.member(doc, "hasZ")).alias("has_z"), checked.as_bool(checked.member(doc, "hasM")).alias("has_m"),
-            G.spatial_reference(checked.member(doc, "spatialReference"))["wkid"].cast("int").alias("wkid"), g["spatialReference"]["wkid"].alias("geometry_wkid"), F.size("attributes").alias("n_attributes"),
-        )
+        return rows.select("label", (F.col("start") + F.col("feature_index")).cast("int").alias("pos"), n_coords.alias("n_coords"), *own, g["spatialReference"]["wkid"].alias("geometry_wkid"), F.size("attributes").alias("n_attributes"))
 
     column_set.__name__ = f"column_set_{shape.lower()}"
     return query(sql)(column_set)
