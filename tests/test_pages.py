@@ -10,7 +10,7 @@ from meridia.plans import queries as plans
 
 from .conftest import DATA
 
-COLUMN_SETS = ("linestring", "multipolygon", "multilinestring", "polygon")
+COLUMN_SETS = ("linestring", "multipolygon", "multilinestring", "polygon", "point")
 
 
 @pytest.mark.parametrize(("range_rows", "page_bytes"), [(8, 500), (64, 1), (1 << 30, 1 << 30)])
